@@ -260,3 +260,17 @@ def identify(docs: DataFrame, models: LanguageModels, id_col: str = "doc_id", te
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, cross_entropy double, accepted boolean").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, models: LanguageModels) -> DataFrame:
+    """The rows of ``docs`` (text and any more columns) whose text is accepted as some language, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(model.predict(batch.column(at).to_pylist())[3]))
+
+    return docs.mapInArrow(run, docs.schema)

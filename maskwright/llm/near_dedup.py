@@ -229,3 +229,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     out = out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any more columns) that near_duplicates keeps, repeated ids once; rows without an id stay."""
+    found = materialize(near_duplicates(docs), "kept")
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
+    rows = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    if kept.groupBy("__kept").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["doc_id"])
+    return rows.unionByName(docs.where(docs["doc_id"].isNull()))

@@ -68,7 +68,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import BASE_KINDS, find_personal_data, span_digest
 
     found = find_personal_data(_documents(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(span_digest("base"), 256).alias("base_sha256"), span_digest("spans").alias("spans"))
 
 
@@ -92,7 +93,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_sharding, op3_fingerprints, op5_language_id, op6_mixing, op7_packing, op9_quality, op10_token_counts)
+    for f in (op1_minhash_near_dedup, op2_sharding, op3_fingerprints, op4_embedding_near_dedup, op5_language_id, op6_mixing, op7_packing, op8_pii, op9_quality, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
