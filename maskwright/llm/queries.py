@@ -96,4 +96,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_minhash_near_dedup, op2_sharding, op3_fingerprints, op4_embedding_near_dedup, op5_language_id, op6_mixing, op7_packing, op8_pii, op9_quality, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_REACH = """
+reach as (select node, node as r from nodes union select l.y, reach.r from reach join links l on l.x = reach.node),
+parts as (select node, min(r) as component_id from reach group by 1)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_minhash_near_dedup": rf"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, sh from (select doc_id, unnest(case when len(w) >= 5 then list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as sh from w)),
+n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by all),
+links as (select x, y from pairs join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 85 * (nx.n + ny.n - c)),
+nodes as (select doc_id as node from documents),{_REACH}
+select doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from documents left join n using (doc_id) join parts on node = doc_id
+""",
+    "op4_embedding_near_dedup": f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as x, b.vec_id as y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.93),
+nodes as (select vec_id as node from embeddings),{_REACH}
+select vec_id, (select count(*) from links where x = vec_id) as n_links, component_id, vec_id = component_id as kept from embeddings join parts on node = vec_id
+""",
+}
