@@ -11,47 +11,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import shuffle_partitions
-from .textcore import shingle_sets
+from .textcore import mix, shingle_sets
 
 #: One in so many shingle hashes is retained, whatever the length of a text.
 SCALE = 8
 
 
-def retained(column: pa.Array, scale: int = SCALE, width: int = 5) -> list[tuple[int, np.ndarray]]:
-    """For each text its number of distinct shingles, and the sorted hashes below 2**64 / scale."""
+Sketch = tuple[int, str, np.ndarray]
+
+
+def retained(column: pa.Array, scale: int = SCALE, width: int = 5) -> list[Sketch]:
+    """For each text its number of distinct shingles, a digest of their set, and the sorted hashes below 2**64 / scale."""
     bound = np.uint64((1 << 64) // scale)
-    return [(len(s), s[: np.searchsorted(s, bound)]) for s in shingle_sets(column, width)]
+    return [(len(s), f"{int(mix(s).sum(dtype=np.uint64)):016x}", s[: np.searchsorted(s, bound)]) for s in shingle_sets(column, width)]
 
 
-def encode(sketch: tuple[int, np.ndarray]) -> str:
-    """``<distinct shingles>:<retained hashes, 16 hex digits each, ascending>``."""
-    return f"{sketch[0]}:{sketch[1].astype('>u8').tobytes().hex()}"
+def encode(sketch: Sketch) -> str:
+    """``<distinct shingles>:<digest of the set>:<retained hashes, 16 hex digits each, ascending>``."""
+    return f"{sketch[0]}:{sketch[1]}:{sketch[2].astype('>u8').tobytes().hex()}"
 
 
-def decode(fingerprint: str) -> tuple[int, np.ndarray]:
-    size, _, hashes = fingerprint.partition(":")
-    return int(size), np.frombuffer(bytes.fromhex(hashes), ">u8").astype(np.uint64)
+def decode(fingerprint: str) -> Sketch:
+    size, digest, hashes = fingerprint.split(":")
+    return int(size), digest, np.frombuffer(bytes.fromhex(hashes), ">u8").astype(np.uint64)
 
 
 def merge(a: str, b: str) -> str:
-    """The fingerprint of two texts' shingles together; the size is estimated from what is retained."""
-    (n, x), (m, y) = decode(a), decode(b)
+    """The fingerprint of two texts' shingles together; the size is estimated from what is retained, the digest is left out."""
+    (n, _, x), (m, _, y) = decode(a), decode(b)
     both = np.union1d(x, y)
     shared = len(x) + len(y) - len(both)
     kept = len(x) + len(y)
-    return encode((round((n + m) * (1 - shared / kept)) if kept else max(n, m), both))
+    return encode((round((n + m) * (1 - shared / kept)) if kept else n + m, "", both))
 
 
-def containment(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
+def containment(a: Sketch, b: Sketch) -> float:
     """Estimated share of the smaller text's shingles that the larger text holds, 0 to 1.
 
-    Where either sketch retains nothing (no words, or a short text none of
-    whose hashes fell below the bound) it is 1 for two sketches of no hashes and the same
-    size, else 0.
+    Equal sets have 1 (two empty ones too). Else it is 0 where either sketch
+    retains nothing: no words, or a short text none of whose hashes fell below
+    the bound.
     """
-    x, y = a[1], b[1]
+    x, y = a[2], b[2]
+    if a[0] == b[0] and a[1] == b[1] != "":
+        return 1.0
     if not len(x) or not len(y):
-        return float(len(x) == len(y) and a[0] == b[0])
+        return 0.0
     if len(x) > len(y):
         x, y = y, x
     at = np.searchsorted(y, x)
