@@ -98,7 +98,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", id
     # documents without links stand at both ends of a shard's run, so that a cut falls among them
     zone = F.when(F.col("cells").isNotNull(), F.lit(1)).otherwise(F.when(_share(F.col("id"), 13) < 0.5, F.lit(0)).otherwise(F.lit(2)))
     placed = both.select("id", "size", "text_crc32", "hub", F.when(F.col("cells").isNotNull(), linked).otherwise(alone).alias("label"), zone.alias("zone"))
-    ranked = with_running_totals(placed, ["label", "zone", "hub", "id"], {"before": "size"}, "rank")
+    ranked = with_running_totals(placed, ["label", "zone", "hub", "id"], {"before": "size"} if law == "bytes" else {}, "rank")
     if law == "rows":
         q, r = divmod(n, shards)
         large = r * (q + 1)
