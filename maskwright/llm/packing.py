@@ -9,6 +9,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import materialize, shuffle_partitions
 from .token_counts import SPLIT, byte_pairs
@@ -104,6 +105,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH
     rows are packed each. An empty table gives no rows; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    ids_kind = to_arrow_type(docs.schema[id_col].dataType)
 
     def encode(batches):
         ids_of = _encoder(vocabulary)
@@ -138,15 +140,14 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH
                     at += take
                 held += n
                 if held > 1 << 21:
-                    yield _batch(out, kind)
+                    yield _batch(out, ids_kind)
                     out, held = [[] for _ in range(7)], 0
             if out[0]:
-                yield _batch(out, kind)
+                yield _batch(out, ids_kind)
 
     return sorted_.select("id", "curve", "raw", "small").mapInArrow(lay, f"id {kind}, {_PIECE}").withColumnRenamed("id", id_col)
 
 
-def _batch(columns: list[list], kind: str) -> pa.RecordBatch:
-    first = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    kinds = [first, *[pa.int64()] * 5, pa.binary()]
+def _batch(columns: list[list], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = [kind, *[pa.int64()] * 5, pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])

@@ -156,6 +156,8 @@ def test_packing_round_trip(request, spark, which):
 
 def test_packing_puts_equal_texts_together_and_takes_no_rows(empty, docs):
     assert packing.pack(empty, queries.vocabulary()).count() == 0
+    named = docs.limit(5).select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d"), "doc_id")).alias("doc_id"), "text")
+    assert {type(r["doc_id"]) for r in packing.pack(named, queries.vocabulary()).collect()} <= {str, type(None)}
     points = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     keys = packing.hilbert(points, 3)
     assert sorted(keys.tolist()) == list(range(512))
