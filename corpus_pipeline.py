@@ -13,6 +13,7 @@ ORACLE_SQL = None
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what no language model accepts. The models learn from a bounded sample of the rows with a lang."""
+    scratch.small_batches(spark)
     models = language_id.train(docs.select("doc_id", "text", "lang"), F.lit(True))
     return language_id.keep_identified(docs, models)
 
@@ -48,6 +49,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each writes a table that the next reads."""
+    scratch.small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch.materialize(stage(spark, docs, sf_dir), name)

@@ -17,7 +17,8 @@ ORDER = 4
 SAMPLE_DOCUMENTS, SAMPLE_CHARS = 400, 20_000
 UNKNOWN = "und"
 _FACTOR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_RUN = 1 << 20
+#: Code points worked on at a time, about.
+_RUN = 1 << 17
 
 
 @lru_cache(1)
@@ -102,8 +103,8 @@ class LanguageModels:
                 end += 1
             if held > 4 * _RUN:  # one long text, in runs cut anywhere; contexts restart there
                 t = texts[at]
-                ce, n = self._sums([t[i : i + _RUN] for i in range(0, len(t), _RUN)])
-                ce, n = ce.sum(0, keepdims=True), n.sum(keepdims=True)
+                parts = [self._sums([t[i : i + _RUN]]) for i in range(0, len(t), _RUN)]
+                ce, n = sum(p[0] for p in parts), sum(p[1] for p in parts)
             else:
                 ce, n = self._sums(texts[at:end])
             out.append(ce / np.maximum(n, 1)[:, None])

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 
 def vocabulary() -> str:
     """Path of the byte-level vocabulary file, the same on every machine."""
@@ -16,6 +18,7 @@ def vocabulary() -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

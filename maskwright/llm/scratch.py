@@ -31,6 +31,14 @@ def scratch_root(spark: SparkSession) -> str:
     return _roots[app]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session, which hold whole texts: 1,000 rows and 16 MB at most."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application. Results that were not written yet are lost."""
     try:
