@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import text_buffers
+from .textcore import distinct, mix, text_buffers, words_by_text
 
 #: Bounds of the training sample: trusted positives and unlabelled rows.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -17,13 +17,19 @@ _CLASSES = 12
 _CLASS = np.full(256, 11, np.uint8)  # bytes of other letters
 for _i, _bytes in enumerate([b" ", b"\n\r", b"\t\x0b\x0c", bytes(range(97, 123)), bytes(range(65, 91)), bytes(range(48, 58)), b".,;:", b"!?", b"|", b"#$%&*+=/\\<>@^_~`", b"\"'()[]{}-"]):
     _CLASS[list(_bytes)] = _i
-WIDTH = 256 + _CLASSES * _CLASSES + 6
+_COUNTS = 10
+WIDTH = 256 + _CLASSES * _CLASSES + _COUNTS
 
 
 def features(column: pa.Array) -> np.ndarray:
-    """For each text: roots of the shares of its bytes and of neighbouring classes of bytes, and a few lengths."""
+    """For each text: roots of the shares of its bytes and of neighbouring classes of bytes, a few lengths, and how
+    much of it repeats (words, neighbouring words, runs of three words, the commonest word)."""
     data, off = text_buffers(column)
     out = np.zeros((len(off) - 1, WIDTH), np.float32)
+    for row, h, ends in words_by_text(column):
+        for i, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if z - a > 1:
+                out[row + i, -4:] = _repeats(h[a:z])
     for i, (a, z) in enumerate(zip(off[:-1], off[1:], strict=True)):
         n = z - a
         if not n:
@@ -34,12 +40,21 @@ def features(column: pa.Array) -> np.ndarray:
         classes = np.bincount(k, minlength=_CLASSES)
         spaces = classes[0] + classes[1] + classes[2]
         out[i, :256] = np.sqrt(np.bincount(b, minlength=256) / n)
-        out[i, 256:-6] = np.sqrt(pairs / max(1, n - 1))
+        out[i, 256:-_COUNTS] = np.sqrt(pairs / max(1, n - 1))
         words = spaces + 1
-        out[i, -6:] = (np.log1p(n) / 10, n / words / 20, classes[1] / words, classes[9] / words, classes[7] / words, classes[8] / words)
+        out[i, -_COUNTS:-4] = (np.log1p(n) / 10, n / words / 20, classes[1] / words, classes[9] / words, classes[7] / words, classes[8] / words)
     return out
 
 
+def _repeats(w: np.ndarray) -> tuple[float, float, float, float]:
+    n = len(w)
+    words = np.sort(w)
+    starts = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+    top = np.diff(np.append(starts, n)).max()
+    three = len(distinct(mix(w[:-2]) + mix(w[1:-1]) * np.uint64(3) + w[2:])) / (n - 2) if n > 2 else 1.0
+    return len(starts) / n, float((w[1:] == w[:-1]).mean()), three, top / n
+
+
 @dataclass
 class Scorer:
     mean: np.ndarray
