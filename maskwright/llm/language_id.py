@@ -230,13 +230,18 @@ def train(docs: DataFrame, usable: Column, documents: int = SAMPLE_DOCUMENTS, ch
     The sample, taken by a hash of doc_id, is bounded: ``documents`` rows a
     language, of at most ``chars`` code points each.
     """
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.length("text").alias("n")).where(F.col("n") <= chars)
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= documents).select("doc_id", "lang").collect()
-    ids = sorted({r["doc_id"] for r in chosen if r["doc_id"] is not None})
-    texts = docs.where(F.col("doc_id").isin(ids) & usable & F.col("lang").isNotNull() & (F.length("text") <= chars)).select("doc_id", "lang", "text").limit(4 * len(chosen) + 1).collect() if ids else []
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars)).select("doc_id", "lang", "text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    if not counts:
+        return fit({})
+    # four times the sample passes a threshold of the hash; the window then ranks only that
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * documents / r["n"]))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    few = rows.where((place < share[F.col("lang")]) | (share[F.col("lang")] == 1.0))
+    texts = few.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= documents).select("doc_id", "lang", "text").collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(texts, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+    for r in sorted(texts, key=lambda r: (r["lang"], r["doc_id"] or 0, r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"])
     return fit(samples)
 
