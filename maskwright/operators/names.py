@@ -83,10 +83,27 @@ def merge_names(spans: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return merged.join(texts, ["doc_id", "page"]).select(*merged.columns, F.substring("page_text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")).alias("text"))
 
 
+def name_matches(text: Column) -> Column:
+    """Merged capitalised sequences of a text, row-local: array of MATCH of type ``name``, after those of the rules."""
+
+    def join(a: Column, m: Column) -> Column:
+        last = F.get(a, F.size(a) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], m["end"]).alias("end"))
+        fresh = F.struct(m["start"].alias("start"), m["end"].alias("end"))
+        return F.when((F.size(a) > 0) & (m["start"] <= last["end"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(fresh)))
+
+    merged = F.aggregate(name_candidates(text), F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>"), join)
+    return F.transform(merged, lambda m, i: F.struct(
+        (i.cast("long") + len(PATTERNS) * BLOCK).alias("ord"), F.lit("name").alias("type"), F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("text"),
+        m["start"].alias("start_pos"), m["end"].alias("end_pos"), F.lit(SEQUENCE_CONFIDENCE).cast("double").alias("confidence"), F.lit("nlp").alias("source")))
+
+
 def detect_names(pages: DataFrame, people: DataFrame | None = None) -> DataFrame:
-    """Merged names of the pages, as matches of type ``name``; ``people`` adds a provider's persons after the sequences."""
-    spans = regex_names(pages)
-    if people is not None:
-        spans = spans.unionByName(person_spans(pages, people).withColumn("ord", F.col("ord") + BLOCK))
-    merged = merge_names(spans, pages)
+    """Merged names of the pages, as matches of type ``name``; ``people`` adds a provider's persons after the sequences.
+
+    Without ``people`` all is row-local; with them, spans are merged over a shuffle by page.
+    """
+    if people is None:
+        return pages.select("doc_id", "page", F.inline(name_matches(F.col("text"))))
+    merged = merge_names(regex_names(pages).unionByName(person_spans(pages, people).withColumn("ord", F.col("ord") + BLOCK)), pages)
     return merged.select("doc_id", "page", (F.col("ord") + len(PATTERNS) * BLOCK).alias("ord"), F.lit("name").alias("type"), "text", "start_pos", "end_pos", "confidence", F.lit("nlp").alias("source"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import SPACES, to_re2
+from ..functions.geometry import ADVANCES
 from ..functions.iban import iban_valid
 from ..operators import dedupe, layout, model_matches, names, patterns, redact, review
 from . import detect, relations
@@ -184,7 +185,20 @@ def name_regex(spark, d):
     return names.regex_names(_pages(spark, d))
 
 
-@query()
+_PERSON = "(?:" + "|".join(names.GIVEN_NAMES) + ")(?: " + r"\p{Lu}[\p{L}'’\-]+)?"  # no word of the letters holds a given name inside
+CTE["people"] = (
+    "select doc_id, page, text as page_text, i - 1 as seq, p[i] as person from (select *, unnest(generate_series(1, len(p))) as i from (select doc_id, page, text, list_filter(l, lambda v, i: list_position(l, v) = i) as p"
+    f" from (select doc_id, page, text, regexp_extract_all(text, {lit(_PERSON)}) as l from letters)))"
+)
+
+
+@query(
+    sql(
+        "select doc_id, page, cast(seq * 1000000 + k - 1 as bigint) as ord, person as text, start_pos, cast(start_pos + length(person) as int) as end_pos, 0.65::double as confidence from"
+        " (select *, cast(list_sum(list_transform(g[1:k], lambda z: length(z))) + (k - 1) * length(person) as int) as start_pos from (select *, unnest(generate_series(1, len(g) - 1)) as k from (select *, string_split(page_text, person) as g from people)))",
+        "people",
+    )
+)
 def name_lexicon(spark, d):
     pages = relations.letters(spark, d)
     people = pages.select("doc_id", "page", F.posexplode(names.lexicon_people(F.col("text"))).alias("seq", "person"))
@@ -335,7 +349,15 @@ def sub_box_measured(spark, d):
     return rows.select("doc_id", "page", "item_seq", part(F.col("box"), full, prefix, F.lit(1500.0), F.lit(400.0)).alias("box")).select("doc_id", "page", "item_seq", *_box())
 
 
-@query()
+_BARE = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+@query(
+    sql(
+        f"select doc_id, item_seq, cast(list_sum(list_transform(string_split(translate(text, '{_BARE[0]}', '{_BARE[1]}'), ''), lambda c: case when c in ('', chr(10)) then 0 else coalesce({list(ADVANCES)}[ascii(c) - 31], 556) end)) as double) as width from items",
+        "items",
+    )
+)
 def measure_text(spark, d):
     from ..functions.geometry import measure_text as width
 
@@ -632,9 +654,7 @@ CTE["redacted"] = (
 
 @query(sql("select doc_id, page, sha256(text) as digest, cast(length(text) as int) as n, cast(length(regexp_replace(text, '[^█]', '', 'g')) as int) as masked from redacted", "redacted"))
 def redact_text(spark, d):
-    pages = _pages(spark, d)
-    found = detect.detect_regex_mode(pages).where(F.col("confidence") >= F.lit(0.5).cast("double"))
-    done = redact.redact_text(pages, found)
+    done = detect.redact_pages(_pages(spark, d))
     return done.select("doc_id", "page", F.sha2("text", 256).alias("digest"), F.length("text").alias("n"), F.length(F.regexp_replace("text", "[^█]", "")).alias("masked"))
 
 

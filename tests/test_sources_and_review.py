@@ -6,7 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.operators import layout, model_matches, redact, review
-from maskwright.plans.detect import detect_regex_mode
+from maskwright.operators.dedupe import dedupe_nested
+from maskwright.operators.names import detect_names
+from maskwright.operators.patterns import detect_patterns
+from maskwright.plans import relations
+from maskwright.plans.detect import detect_regex_mode, redact_pages
+from maskwright.plans.sql import register_views
 from maskwright.sources import files, models
 from maskwright.streaming import detection
 
@@ -64,6 +69,25 @@ def test_redaction_has_no_leaks(spark):
     rows = {r["doc_id"]: r["text"] for r in done.collect()}
     assert rows[2] == "rien" and rows[3] is None and rows[1] == "█" * 11 + ", " + "█" * 14 + ", " + "█" * 6 + " 😀 fin"
     assert redact.leaks(done, found).count() == 0 and redact.leaks(pages, found).count() == 3
+    assert redact_pages(pages).collect() == done.select(*pages.columns).collect()
+
+
+def test_row_local_plan_equals_the_windows(spark):
+    """Detection without a shuffle against the window operators, and its plan."""
+    pages = relations.texts(spark, "/root/testdata/sf0.001")
+    want = dedupe_nested(detect_patterns(pages).unionByName(detect_names(pages)))
+    got = detect_regex_mode(pages)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+    narrow = detect_regex_mode(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.lit(0).alias("page"), "text"))
+    plan = narrow._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_views(spark):
+    pages = spark.createDataFrame([(1, 0, "a@b.fr et Jean Dupont")], "doc_id long, page int, text string")
+    assert "v_findings" in register_views(spark, pages, prefix="v_")
+    assert [r[0] for r in spark.sql("select type from v_findings order by start_pos").collect()] == ["email", "name"]
+    assert spark.sql("select count(*) from v_rules").first()[0] == 10
 
 
 def test_review(spark):
