@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -82,23 +82,25 @@ def _tokens(classes: DataFrame) -> DataFrame:
 
 
 def candidate_blocks(classes: DataFrame) -> DataFrame:
-    """Rows (rep, block) of the classes that may have a partner; partners share a block.
+    """Rows (rep, block, weight) of the classes that may have a partner; partners share a block.
 
     Two signatures that agree in MATCHES coordinates share one of the
     COORDINATES - MATCHES + 1 rarest coordinate values of each (the prefix).
     Values that occur once need no posting and, being rarest, fill a prefix
     first: a class is only posted if at least MATCHES of its values occur
     elsewhere, and only under the rarest of those. Each posting list is a star
-    to its least class, and stars that touch form a block.
+    to its least class, and stars that touch form a block. ``weight`` sums how
+    often a class's values occur: the typical member of a block has the most.
     """
     tokens = _tokens(classes)
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(often, "token").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("t")).where(F.size("t") >= MATCHES)  # COORDINATES entries at most
+    shared = tokens.join(often, "token").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("t"), F.sum("df").alias("weight")).where(F.size("t") >= MATCHES)  # COORDINATES entries at most
     prefix = F.slice(F.array_sort("t"), F.lit(1), F.size("t") - MATCHES + 1)
-    posted = materialize(shared.select("rep", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")), "posted")
+    posted = materialize(shared.select("rep", "weight", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")), "posted")
     stars = posted.join(posted.groupBy("token").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "token")
     linked = connected_components(stars.select(F.col("rep").alias("src"), F.col("least").alias("dst")))
-    return linked.select(F.col("node").alias("rep"), F.col("component").alias("block"))
+    weights = posted.groupBy("rep").agg(F.max("weight").alias("weight"))
+    return linked.select(F.col("node").alias("rep"), F.col("component").alias("block")).join(weights, "rep")
 
 
 def _prefix_lists(sets: list[np.ndarray], similarity: int) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
@@ -168,6 +170,67 @@ def _linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
     return 100 * shared >= similarity * (len(a) + len(b) - shared)
 
 
+def _confirm(tasks: DataFrame, keys: list[str], similarity: int) -> DataFrame:
+    """Forest rows (src, dst) of the links among the members (rep, side, text) of each task; with members of side 1,
+    of the links between the two sides."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "rep"], kind="stable")
+        sets = list(shingle_sets(pa.array(pdf.text, pa.large_string())))
+        pdf = pdf[[len(s) > 0 for s in sets]]
+        sets = [s for s in sets if len(s)]
+        off = np.zeros(len(sets) + 1, np.int64)
+        np.cumsum([len(s) for s in sets], out=off[1:])
+        sig = _signatures(np.concatenate(sets), off) if sets else np.empty((0, COORDINATES))
+        label = link_block(sets, sig, int((pdf.side == 0).sum()), similarity)
+        reps = pdf.rep.to_numpy()
+        return pd.DataFrame({"src": reps, "dst": reps[label] if len(reps) else reps})
+
+    return tasks.select(*keys, "rep", "side", "text").groupBy(*keys).applyInPandas(run, "src long, dst long")
+
+
+def _parts(weight: Column, block_shingles: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(weight / block_shingles)).cast("int")
+
+
+def _large_blocks(texts: DataFrame, forest: DataFrame, similarity: int, block_shingles: int) -> DataFrame:
+    """Forest rows of the links that cross the parts of large blocks. ``texts``: rep, block, text; ``forest``: their
+    links within parts.
+
+    Linked sets share one of the n - ceil(similarity * n) + 1 shingles of each
+    that are rarest in the block. Members are posted under these (shingles of
+    one member need no posting and fill the prefix first), and only the lists
+    whose members are not all in one component yet are confirmed. Lists of the
+    same members are confirmed once. A list that is itself above the bound is
+    cut in parts, and each pair of parts is a task.
+    """
+
+    def explode(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = list(shingle_sets(part.column(2)))
+                n = np.array([len(v) for v in sets], np.int64)
+                ids = [np.repeat(part.column(c).to_numpy(), n) for c in (1, 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*ids, np.repeat(n, n), np.concatenate(sets).view(np.int64))], names=["block", "rep", "n", "token"])
+
+    tokens = texts.select("rep", "block", "text").mapInArrow(explode, "block long, rep long, n long, token long")
+    often = tokens.groupBy("block", "token").agg(F.count("*").alias("df")).where("df > 1")
+    least = F.ceil(F.col("n") * similarity / 100).cast("int")
+    shared = tokens.join(often, ["block", "token"]).groupBy("block", "rep", "n").agg(F.collect_list(F.struct("df", "token")).alias("t")).where(F.size("t") >= least)  # one text's shingles
+    posted = shared.select("block", "rep", "n", F.explode(F.transform(F.slice(F.array_sort("t"), F.lit(1), F.size("t") - least + 1), lambda x: x["token"])).alias("token"))
+    label = connected_components(forest)
+    posted = materialize(posted.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "posted")
+    lists = posted.groupBy("block", "token").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.sum("n").alias("w"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"))
+    live = lists.where("a != z").groupBy("block", "n", "members").agg(F.min("token").alias("token"), F.first("w").alias("w"))
+    live = live.select("block", "token", _parts(F.col("w"), block_shingles).alias("parts"))
+    hits = posted.select("block", "token", "rep").join(live, ["block", "token"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    sends = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
+    sent = hits.withColumn("task", F.explode(sends)).select("block", "token", "rep", "part", F.col("task.i").alias("i"), F.col("task.j").alias("j"))
+    sent = sent.withColumn("side", (F.col("part") != F.col("i")).cast("int")).join(texts.select("rep", "text"), "rep")
+    return _confirm(sent, ["block", "token", "i", "j"], similarity)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Rows (id_col long, n_shingles long, component_id long, kept boolean), one for each row of ``docs``.
 
@@ -184,9 +247,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets are one class. Classes whose signatures may agree in MATCHES
     coordinates share a block (see ``candidate_blocks``); links are confirmed
-    on full sets within it. A block above ``block_shingles`` is cut in parts
-    and every pair of parts is a task of its own, so no task and no posting
-    list holds an unbounded group, and no candidate is dropped.
+    on full sets within it. A block above ``block_shingles`` is cut in parts:
+    each part is a task that also gets the block's most typical member, which
+    joins the parts' clusters of copies, and ``_large_blocks`` finds what links
+    still cross them. No task and no posting list holds an unbounded group,
+    and no candidate is dropped.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(sign(rows), "signed")
@@ -195,34 +260,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes, "classes")
     blocks = materialize(candidate_blocks(classes), "blocks")
     inside = blocks.join(classes.select("rep", "n_repeats"), "rep")
-    weights = inside.groupBy("block").agg(F.sum("n_repeats").alias("w")).select("block", F.ceil(F.col("w") / block_shingles).cast("int").alias("parts"))
-    member = blocks.join(weights, "block").withColumn("part", F.when(F.col("parts") == 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int"))
-    member = materialize(member, "members")
-    texts = rows.join(member, rows["doc_id"] == member["rep"]).select("rep", "block", "parts", "part", "text")
-    # each part meets itself and every other part of its block once
-    sends = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j"))))
-    tasks = texts.withColumn("task", F.explode(sends)).select("rep", "block", "part", "parts", "text", F.col("task.i").alias("i"), F.col("task.j").alias("j"))
-
-    def confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["part", "rep"], kind="stable")
-        column = pa.array(pdf.text, pa.large_string())
-        sets = list(shingle_sets(column))
-        some = np.array([len(s) > 0 for s in sets])
-        sets = [s for s in sets if len(s)]
-        pdf = pdf[some]
-        off = np.zeros(len(sets) + 1, np.int64)
-        np.cumsum([len(s) for s in sets], out=off[1:])
-        sig = _signatures(np.concatenate(sets), off) if sets else np.empty((0, COORDINATES))
-        first = int((pdf.part == pdf.i).sum())
-        label = link_block(sets, sig, first, similarity)
-        reps = pdf.rep.to_numpy()
-        return pd.DataFrame({"src": reps, "dst": reps[label] if len(reps) else reps, "whole": (pdf.parts == 1).to_numpy()})
-
-    found = materialize(tasks.groupBy("block", "i", "j").applyInPandas(confirm, "src long, dst long, whole boolean"), "found")
-    # a rep that several texts share (repeated ids) may have two labels: those are joined like cut blocks
-    loose = found.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
-    label = connected_components(found.select("src", "dst")) if loose else found.groupBy("dst").agg(F.min("src").alias("component")).join(found, "dst").select(F.col("src").alias("node"), "component")
+    weights = inside.groupBy("block").agg(_parts(F.sum("n_repeats"), block_shingles).alias("parts"), F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("typical"))
+    member = materialize(blocks.join(weights, "block").select("rep", "block", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), (-F.col("typical.r")).alias("typical")), "members")
+    texts = rows.join(member, rows["doc_id"] == member["rep"]).select("rep", "block", "parts", "part", "typical", F.lit(0).alias("side"), "text")
+    large = member.where("parts > 1").limit(1).count() > 0
+    if large:
+        texts = materialize(texts, "texts")
+        more = texts.where("parts > 1 and rep = typical").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        found = materialize(_confirm(texts.unionByName(more), ["block", "part"], similarity), "found")
+        crossing = texts.where("parts > 1")
+        forest = found.join(crossing.select(F.col("rep").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        found = materialize(found.unionByName(_large_blocks(crossing, forest, similarity, block_shingles)), "found")
+    else:
+        found = materialize(_confirm(texts, ["block", "part"], similarity), "found")
+    # a rep in more than one task (a cut block, a repeated id) may have several labels
+    loose = large or found.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    label = connected_components(found) if loose else found.groupBy("dst").agg(F.min("src").alias("component")).join(found, "dst").select(F.col("src").alias("node"), "component")
     named = classes.select(*(F.col(k).alias(f"k_{k}") for k in key), "rep")
     own = signed.join(named, [F.col(k) == F.col(f"k_{k}") for k in key] + [F.col("doc_id").isNotNull()], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = own.join(label.withColumnRenamed("node", "rep"), "rep", "left")
