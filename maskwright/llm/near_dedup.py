@@ -288,7 +288,8 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any more columns) that near_duplicates keeps, repeated ids once; rows without an id stay."""
     found = materialize(near_duplicates(docs), "kept")
     kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
-    rows = docs.join(kept, docs["doc_id"] == kept["__kept"], "left_semi")
+    # the kept ids grow with the corpus: merged at every size, never broadcast
+    rows = docs.join(kept.hint("merge"), docs["doc_id"] == kept["__kept"], "left_semi")
     if kept.groupBy("__kept").count().where("count > 1").limit(1).count():
         rows = rows.dropDuplicates(["doc_id"])
     return rows.unionByName(docs.where(docs["doc_id"].isNull()))
