@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spans import find_all, let
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
 _SPAN = "array<struct<start:int,kind:string,end:int>>"
@@ -67,38 +69,13 @@ CONTEXTS = (
     r"(?i)(?:order|invoice|part|ref|serial|version|item|isbn|sku|date|page|total|price|[$€£#%]\s*\z)",
 )
 CONTEXT_CHARS = 24
-_BLOCK = 64
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches: array of (start, x, before, after), in code points.
-
-    Starts are prefix sums over the lengths of the gaps and the matches, taken
-    in blocks of _BLOCK, so a text with many matches takes near-linear time.
-    """
-
-    def placed(rows: Column) -> Column:
-        def total(part: Column) -> Column:
-            return F.aggregate(part, F.lit(0), lambda a, r: a + r["gap"] + r["n"])
-
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(rows, b * _BLOCK + 1, F.lit(_BLOCK))))
-        return _let(
-            _let(blocks, lambda sums: F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda a, v: a + v))),
-            lambda firsts: F.transform(rows, lambda r, i: F.struct(
-                (F.get(firsts, F.floor(i / _BLOCK).cast("int")) + total(F.slice(rows, i - i % _BLOCK + 1, i % _BLOCK)) + r["gap"]).alias("start"),
-                r["x"].alias("x"), r["before"].alias("before"), r["after"].alias("after"))),
-        )
-
-    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
-    rows = _let(found, lambda f: F.transform(f["m"], lambda x, i: F.struct(
-        F.length(F.get(f["g"], i)).alias("gap"), F.length(x).alias("n"), x.alias("x"),
-        F.substring(F.get(f["g"], i), -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), F.substring(F.get(f["g"], i + 1), 1, 2).alias("after"))))
-    return _let(rows, lambda r: F.when(F.size(r) > 0, placed(r)))
+    """All leftmost non-overlapping matches: array of (start, x, before, after), in code points; before and after are
+    the nearest characters of the gaps to the neighbouring matches."""
+    return F.transform(find_all(text, pattern), lambda m: F.struct(
+        m["start"].alias("start"), m["x"].alias("x"), F.substring(m["before"], -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), F.substring(m["after"], 1, 2).alias("after")))
 
 
 def features(gen: int, x: Column, before: Column, after: Column) -> Column:
@@ -270,7 +247,7 @@ def _spans(docs: DataFrame, text: Column, trees: Trees) -> DataFrame:
         apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
         # what a base span or a longer candidate (of equal ones: a likelier one) overlaps goes
         worth = lambda s: F.struct(s["end"] - s["start"], s["p"], s["gen"])
-        free = _let(rest, lambda r: F.filter(r, lambda s: ~F.exists(base, lambda b: ~apart(s, b)) & ~F.exists(r, lambda o: ~apart(s, o) & (worth(o) > worth(s)))))
+        free = let(rest, lambda r: F.filter(r, lambda s: ~F.exists(base, lambda b: ~apart(s, b)) & ~F.exists(r, lambda o: ~apart(s, o) & (worth(o) > worth(s)))))
         thin = lambda a: F.transform(a, lambda s: F.struct(s["start"].alias("start"), order(s).alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
         tidy = lambda a: F.transform(F.array_sort(a), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
         return F.struct(tidy(thin(base)).alias("base"), tidy(F.concat(thin(base), thin(free))).alias("spans"))
@@ -279,7 +256,7 @@ def _spans(docs: DataFrame, text: Column, trees: Trees) -> DataFrame:
     for g in GENERATORS[1:]:
         may = may | g.may(text)
     none = F.struct(F.from_json(F.lit("[]"), _SPAN).alias("base"), F.from_json(F.lit("[]"), _SPAN).alias("spans"))
-    found = F.when(text.rlike("[0-9@]|at[)\\]]") & may, _let(_candidates(text), select)).otherwise(none)
+    found = F.when(text.rlike("[0-9@]|at[)\\]]") & may, let(_candidates(text), select)).otherwise(none)
     return docs.withColumn("__found", found)
 
 
@@ -319,7 +296,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.when((F.size(a) > 0) & (last["end"] > s["start"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(wider))).otherwise(F.concat(a, F.array(s)))
 
     merged = F.aggregate("__found.spans", zero, join)
-    masked = _let(merged, lambda m: F.concat(
+    masked = let(merged, lambda m: F.concat(
         F.array_join(F.transform(m, lambda s, i: F.concat(
             F.substring(text, F.when(i == 0, 1).otherwise(F.get(m, i - 1)["end"] + 1), s["start"] - F.when(i == 0, 0).otherwise(F.get(m, i - 1)["end"])),
             F.lit("["), F.upper(s["kind"]), F.lit("]"))), ""),
