@@ -46,6 +46,7 @@ _STREETS = r"rue|avenue|av\.?|boulevard|bd\.?|impasse|allée|chemin|place|route|
 _SEP = rf"[{SPACES}.\-]"
 _DAY = "(?:0?[1-9]|[12][0-9]|3[01])"
 
+# The rules' order, types, labels, formats and confidences.
 PATTERNS: list[Pattern] = [
     Pattern("email", "email", "Adresse email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", 0.98, lambda t: t.contains("@")),
     Pattern("phone_fr", "phone", "Téléphone (FR)", rf"(?:(?:\+33|0033){_SEP}?[1-9]|0[1-9])(?:{_SEP}?[0-9]{{2}}){{4}}", 0.9, lambda t: t.rlike(r"(?:\+33|0)[^a-z]{0,2}[1-9]")),
@@ -64,6 +65,7 @@ PATTERNS: list[Pattern] = [
 _NAME_WORD = "(?:[A-ZÀ-Ý][a-zà-ÿ'’]+|[A-ZÀ-Ý][A-ZÀ-Ý'’]+)"
 NAME_SEQUENCE = rf"{BOUNDARY}{_NAME_WORD}(?:[{SPACES}\-]+{_NAME_WORD}){{1,2}}{BOUNDARY}"
 
+#: Display names of the types.
 LABELS = {
     "email": "Email", "phone": "Téléphone", "iban": "IBAN", "nir": "Sécurité sociale", "postal_address": "Adresse",
     "postal_code": "Code postal", "date_naissance": "Date", "date": "Date", "name": "Nom / Prénom", "custom": "Identifiant",

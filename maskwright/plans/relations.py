@@ -26,22 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (doc_id, page, text): a letter for each customer."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return rows.select(F.col("k").alias("doc_id"), F.lit(0).alias("page"), F.expr(LETTER.format(s="string")).alias("text"))
-
-
 def spread(rows: DataFrame) -> DataFrame:
     """Deal rows to all cores where the scan has fewer tasks than cores (a file of one row group is one task)."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
 
 
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, page, text): a letter for each customer."""
+    rows = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")))
+    return rows.select(F.col("k").alias("doc_id"), F.lit(0).alias("page"), F.expr(LETTER.format(s="string")).alias("text"))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (doc_id, page, text): the letters, and the documents with OFFSET added to their ids."""
     docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + OFFSET).alias("doc_id"), F.lit(0).alias("page"), "text")
-    return spread(letters(spark, sf_dir)).unionByName(spread(docs))
+    return letters(spark, sf_dir).unionByName(spread(docs))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
