@@ -17,42 +17,47 @@ def _share(value: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), value), F.lit(1 << 40)) / float(1 << 40)
 
 
+def _largest() -> Column:
+    """What the cells of a hub are compared by: the size, then a hash, so that ties favour no shard."""
+    return F.struct(F.col("n"), F.xxhash64("hub", "shard").alias("tie"), F.col("shard"))
+
+
 def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """Move cells (hub, shard, n: n linked documents of a hub in a shard) until no hub gains.
+    """Move cells (hub, shard, n: n linked documents of a hub in a shard) until each hub has one: rows (hub, shard, n).
 
-    Each round, a cell aims at the shard with room that holds most of its hub,
-    if that is more than it holds itself (ties: the smaller shard). A shard
-    takes cells by votes, largest first, until its room is used up; where it
-    ends is found from sums over classes of votes and of a hash, so no shard's
-    movers are gathered in one place. A shard that can take no more is closed.
+    Each round, a hub's cells aim at the shard that holds most of it (ties: by
+    a hash). A shard's room is what it lacks and what wants to leave it. It
+    takes whole cells by votes, largest first, until its room is used up (the
+    last may go beyond it); where it ends is found from sums over classes of
+    votes and of a hash, and cell by cell only in the class in which it ends,
+    so no shard's movers are gathered in one place. Hubs that are still divided
+    when nothing moves, or after ``rounds``, join their largest cell without
+    regard to room.
     """
-    cells = materialize(cells, "cells")
-    closed: set[int] = set()
+    cells = materialize(cells.withColumn("moved", F.lit(1).cast("long")), "cells")
     for _ in range(rounds):
-        held = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # one row a shard
-        room = {s: max(0, capacity - held.get(s, 0)) for s in range(shards)}
-        open_shards = [s for s, r in room.items() if r > 0 and s not in closed]
-        best = cells.where(F.col("shard").isin(open_shards)).groupBy("hub").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b"))
-        aims = cells.join(best.select("hub", F.col("b.n").alias("votes"), (-F.col("b.s")).alias("aim")), "hub", "left")
-        # a larger part draws, and of equal parts the one in the smaller shard
-        moves = (F.col("aim") != F.col("shard")) & ((F.col("votes") > F.col("n")) | (F.col("votes") == F.col("n")) & (F.col("aim") < F.col("shard")))
-        rank = F.floor(F.log2("votes")).cast("int")
-        aims = materialize(aims.withColumn("class", F.when(moves, (63 - rank) * _PARTS + F.pmod(F.xxhash64("hub", "shard"), F.lit(_PARTS)).cast("int"))), "aims")
+        aims = cells.join(cells.groupBy("hub").agg(F.max(_largest()).alias("best")), "hub").withColumn("aim", F.col("best.shard"))
+        rank = F.floor(F.log2("best.n")).cast("int")
+        part = (63 - rank) * _PARTS + F.pmod(F.xxhash64("hub", "shard"), F.lit(_PARTS)).cast("int")
+        aims = materialize(aims.select("hub", "shard", "n", "moved", "aim", F.when(F.col("aim") != F.col("shard"), part).alias("class")), "aims")
+        state = aims.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved"), F.sum(F.when(F.col("class").isNotNull(), F.col("n"))).alias("leave")).collect()  # one row a shard
+        if not any(r["moved"] for r in state) or not any(r["leave"] for r in state):
+            break
+        lacks = {r["shard"]: capacity - r["n"] + (r["leave"] or 0) for r in state}
+        room = {s: max(0, lacks.get(s, capacity)) for s in range(shards)}
         sums = aims.where("class is not null").groupBy("aim", "class").agg(F.sum("n").alias("all"))
         run = Window.partitionBy("aim").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-        limit = F.create_map(*(x for s, r in room.items() for x in (F.lit(s), F.lit(r))))
-        left = limit[F.col("aim")] - F.coalesce(F.sum("all").over(run), F.lit(0))
-        # at most shards * 64 * _PARTS rows; the class in which the room ends is taken in part
-        taken = sums.withColumn("part", F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / F.col("all")))).select("aim", "class", "part")
-        after = aims.join(F.broadcast(taken), ["aim", "class"], "left").withColumn("go", F.coalesce(F.floor(F.col("n") * F.col("part")), F.lit(0)))
-        flows = {r["aim"]: r["go"] for r in after.where("class is not null").groupBy("aim").agg(F.sum("go").alias("go")).collect()}
-        if not flows:
-            break
-        closed |= {s for s, go in flows.items() if not go}
-        stay = F.struct(F.col("shard").alias("shard"), (F.col("n") - F.col("go")).alias("n"))
-        go = F.struct(F.col("aim").alias("shard"), F.col("go").alias("n"))
-        cells = materialize(after.select("hub", F.explode(F.array(stay, go)).alias("c")).select("hub", "c.shard", "c.n").where("n > 0").groupBy("hub", "shard").agg(F.sum("n").alias("n")), "cells")
-    return cells
+        limit = F.create_map(*(x for s, r in room.items() for x in (F.lit(s), F.lit(r).cast("long"))))
+        # at most shards * 64 * _PARTS rows
+        sums = sums.withColumn("left", limit[F.col("aim")] - F.coalesce(F.sum("all").over(run), F.lit(0)))
+        aims = aims.join(F.broadcast(sums), ["aim", "class"], "left")
+        ends = F.coalesce((F.col("left") > 0) & (F.col("left") < F.col("all")), F.lit(False))
+        upto = Window.partitionBy("aim", "class").orderBy(F.xxhash64(F.lit(3), "hub", "shard"), "hub", "shard").rowsBetween(Window.unboundedPreceding, -1)
+        last = aims.where(ends).withColumn("go", F.coalesce(F.sum("n").over(upto), F.lit(0)) < F.col("left"))
+        after = aims.where(~ends).withColumn("go", F.coalesce(F.col("left") >= F.col("all"), F.lit(False))).unionByName(last)
+        after = after.select("hub", F.when(F.col("go"), F.col("aim")).otherwise(F.col("shard")).alias("shard"), "n", F.when(F.col("go"), F.col("n")).otherwise(F.lit(0)).alias("moved"))
+        cells = materialize(after.groupBy("hub", "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")), "cells")
+    return cells.groupBy("hub").agg(F.max(_largest())["shard"].alias("shard"), F.sum("n").alias("n"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", id_col: str = "doc_id", text_col: str = "text", link_col: str | None = None) -> DataFrame:
@@ -60,11 +65,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", id
 
     Documents that share ``link_col`` (default: that have equal texts) are
     linked. They start in shards by a hash of their ids and move by
-    ``propagate`` under the capacity of a shard; documents without links then
-    fill what room is left. The order (shard, links, id) is cut where the law
-    asks: ``rows``: shard counts at most one apart; ``bytes``: sizes at most
-    one document apart. A link group is cut only if it is larger than a
-    shard, or at one of the shards - 1 cuts.
+    ``propagate``, each group to one shard; documents without links then fill
+    what room is left. The order (shard, links, id) is cut where the law asks,
+    whatever the shards hold: ``rows``: shard counts at most one apart;
+    ``bytes``: sizes at most one document apart. A link group is cut only at
+    one of the shards - 1 cuts.
 
     Size is UTF-8 bytes plus 1. A null text has no bytes, crc32 0, and is
     linked with other null texts; ids may be null or repeat; an empty table
@@ -90,14 +95,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", id
     held = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     free = [max(0, capacity - held.get(s, 0)) for s in range(shards)]
     ends = [sum(free[: s + 1]) / max(1, sum(free)) for s in range(shards)]
-    homes = cells.groupBy("hub").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("cells"), F.sum("n").alias("docs"))  # a hub has a cell a shard at most
-    both = rows.join(homes, "hub", "left")
+    both = rows.join(cells.select("hub", F.col("shard").alias("home")), "hub", "left")
     u = _share(F.col("id"), 11)
-    linked = F.aggregate("cells", F.struct(F.lit(0.0).alias("upto"), F.lit(-1).alias("shard")), lambda a, c: F.when(a["upto"] > u, a).otherwise(F.struct((a["upto"] + c["n"] / F.col("docs")).alias("upto"), c["shard"].alias("shard"))))["shard"]
     alone = F.coalesce(*(F.when(u < e, F.lit(s)) for s, e in enumerate(ends[:-1])), F.lit(shards - 1))
     # documents without links stand at both ends of a shard's run, so that a cut falls among them
-    zone = F.when(F.col("cells").isNotNull(), F.lit(1)).otherwise(F.when(_share(F.col("id"), 13) < 0.5, F.lit(0)).otherwise(F.lit(2)))
-    placed = both.select("id", "size", "text_crc32", "hub", F.when(F.col("cells").isNotNull(), linked).otherwise(alone).alias("label"), zone.alias("zone"))
+    zone = F.when(F.col("home").isNotNull(), F.lit(1)).otherwise(F.when(_share(F.col("id"), 13) < 0.5, F.lit(0)).otherwise(F.lit(2)))
+    placed = both.select("id", "size", "text_crc32", "hub", F.coalesce("home", alone).alias("label"), zone.alias("zone"))
     ranked = with_running_totals(placed, ["label", "zone", "hub", "id"], {"before": "size"} if law == "bytes" else {}, "rank")
     if law == "rows":
         q, r = divmod(n, shards)

@@ -237,6 +237,18 @@ def test_sharding_splits_a_group_above_a_shard(spark, empty):
     assert len({r["shard"] for r in got if r["doc_id"] % 3 == 0}) <= 8  # 200 of 600 need 6 shards
 
 
+@pytest.mark.parametrize(("copies", "law"), [(2, "rows"), (3, "bytes"), (40, "rows")])
+def test_sharding_leaves_groups_whole_where_every_text_repeats(spark, copies, law):
+    rows = spark.range(2400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") / copies).cast("int")).alias("text"))
+    got = sharding.shard_documents(rows, law=law).collect()
+    homes = defaultdict(set)
+    for r in got:
+        homes[r["doc_id"] // copies].add(r["shard"])
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == 2400 and len(counts) == 16 and sum(len(h) - 1 for h in homes.values()) <= 15
+    assert law == "bytes" or max(counts.values()) - min(counts.values()) <= 1
+
+
 def reference_targets(sizes):
     weights, total, capped = [i % 3 + 1 for i in range(len(sizes))], sum(sizes), set()
     while True:
