@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,9 +14,8 @@ from .components import connected_components
 from .scratch import materialize
 from .textcore import distinct, mix, shingle_sets, shingles_by_text
 
-#: Signature coordinates, and how many must agree. A pair at similarity 0.85 agrees in 54.4 +- 2.9 of 64;
-#: fewer than 38 have a probability of about 1e-7.
-COORDINATES, MATCHES = 64, 38
+#: Signature coordinates, and the probability at most with which a linked pair agrees in too few of them.
+COORDINATES, MISSED = 64, 2e-7
 SIMILARITY = 85  # percent
 #: Shingles (with repeats) of a block of candidates that one task takes; larger blocks are cut in parts.
 BLOCK_SHINGLES = 6_000_000
@@ -24,6 +25,19 @@ _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _SIGNED = "doc_id long, n_shingles long, n_repeats long, set_a long, set_b long, signature binary"
 
 
+def least_matches(similarity: int) -> int:
+    """How many coordinates must agree: a pair at ``similarity`` percent has fewer with a probability of MISSED at most.
+
+    At 85 a pair agrees in 54.4 +- 2.9 of 64, and 38 must agree; at 80 33 must.
+    """
+    p, below = similarity / 100, 0.0
+    for m in range(COORDINATES):
+        below += comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if below > MISSED:
+            return max(1, m)
+    return COORDINATES
+
+
 def _signatures(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Least value of each coordinate's hash over each row's shingles, 32 bits each; rows must not be empty."""
     out = np.empty((len(off) - 1, COORDINATES), np.uint32)
@@ -81,21 +95,22 @@ def _tokens(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "rep long, token long")
 
 
-def candidate_blocks(classes: DataFrame) -> DataFrame:
+def candidate_blocks(classes: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Rows (rep, block, weight) of the classes that may have a partner; partners share a block.
 
-    Two signatures that agree in MATCHES coordinates share one of the
-    COORDINATES - MATCHES + 1 rarest coordinate values of each (the prefix).
-    Values that occur once need no posting and, being rarest, fill a prefix
-    first: a class is only posted if at least MATCHES of its values occur
-    elsewhere, and only under the rarest of those. Each posting list is a star
+    Two signatures that agree in ``least_matches`` coordinates share one of
+    the COORDINATES - matches + 1 rarest coordinate values of each (the
+    prefix). Values that occur once need no posting and, being rarest, fill a
+    prefix first: a class is only posted if at least that many of its values
+    occur elsewhere, and only under the rarest of those. Each posting list is a star
     to its least class, and stars that touch form a block. ``weight`` sums how
     often a class's values occur: the typical member of a block has the most.
     """
+    matches = least_matches(similarity)
     tokens = _tokens(classes)
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.join(often, "token").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("t"), F.sum("df").alias("weight")).where(F.size("t") >= MATCHES)  # COORDINATES entries at most
-    prefix = F.slice(F.array_sort("t"), F.lit(1), F.size("t") - MATCHES + 1)
+    shared = tokens.join(often, "token").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("t"), F.sum("df").alias("weight")).where(F.size("t") >= matches)  # COORDINATES entries at most
+    prefix = F.slice(F.array_sort("t"), F.lit(1), F.size("t") - matches + 1)
     posted = materialize(shared.select("rep", "weight", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token")), "posted")
     stars = posted.join(posted.groupBy("token").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "token")
     linked = connected_components(stars.select(F.col("rep").alias("src"), F.col("least").alias("dst")))
@@ -127,8 +142,8 @@ def link_block(sets: list[np.ndarray], signatures: np.ndarray, first: int, simil
 
     From one member after another, all that it is linked with are reached.
     Its prefix lists are merged, members that were reached already are skipped
-    and taken off the lists; of the rest those that collide in MATCHES
-    signature coordinates or more are confirmed on the full sets. ``first``
+    and taken off the lists; of the rest those that collide in
+    ``least_matches`` signature coordinates or more are confirmed on the full sets. ``first``
     members form part one; if it is less than all, only links between part one
     and the rest are looked for.
     """
@@ -138,7 +153,7 @@ def link_block(sets: list[np.ndarray], signatures: np.ndarray, first: int, simil
         return label
     sizes = np.array([len(s) for s in sets])
     own, lists = _prefix_lists(sets, similarity)
-    one = np.arange(n) < first
+    one, matches = np.arange(n) < first, least_matches(similarity)
     for seed in range(n):
         if label[seed] >= 0:
             continue
@@ -154,7 +169,7 @@ def link_block(sets: list[np.ndarray], signatures: np.ndarray, first: int, simil
             if first < n:
                 near = near[one[near] != one[at]]
             near = near[100 * np.minimum(sizes[near], sizes[at]) >= similarity * np.maximum(sizes[near], sizes[at])]
-            near = near[(signatures[near] == signatures[at]).sum(1) >= MATCHES]
+            near = near[(signatures[near] == signatures[at]).sum(1) >= matches]
             hit = [j for j in near.tolist() if _linked(sets[at], sets[j], similarity)]
             label[hit] = seed
             queue += hit
@@ -245,8 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without an id are linked with nothing: component_id is null and they are
     kept. An empty table gives no rows. Other columns are not read.
 
-    Equal sets are one class. Classes whose signatures may agree in MATCHES
-    coordinates share a block (see ``candidate_blocks``); links are confirmed
+    Equal sets are one class. Classes whose signatures may agree in
+    ``least_matches`` coordinates share a block (see ``candidate_blocks``); links are confirmed
     on full sets within it. A block above ``block_shingles`` is cut in parts:
     each part is a task that also gets the block's most typical member, which
     joins the parts' clusters of copies, and ``_large_blocks`` finds what links
@@ -258,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = ["n_shingles", "set_a", "set_b"]
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("n_repeats").alias("n_repeats"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
-    blocks = materialize(candidate_blocks(classes), "blocks")
+    blocks = materialize(candidate_blocks(classes, similarity), "blocks")
     inside = blocks.join(classes.select("rep", "n_repeats"), "rep")
     weights = inside.groupBy("block").agg(_parts(F.sum("n_repeats"), block_shingles).alias("parts"), F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("typical"))
     member = materialize(blocks.join(weights, "block").select("rep", "block", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), (-F.col("typical.r")).alias("typical")), "members")
