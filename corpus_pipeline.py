@@ -9,6 +9,8 @@ from maskwright.llm import language_id, mixing, near_dedup, packing, pii, querie
 
 #: Not expressible: learned models, graph components and a tokenizer.
 ORACLE_SQL = None
+#: Percent of shared shingles from which documents of the corpus are near copies; op1's 85 binds its query only.
+NEAR_COPIES = 80
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of least doc_id."""
-    return near_dedup.keep_representatives(docs)
+    return near_dedup.keep_representatives(docs, NEAR_COPIES)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

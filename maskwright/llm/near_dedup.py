@@ -299,9 +299,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any more columns) that near_duplicates keeps, repeated ids once; rows without an id stay."""
-    found = materialize(near_duplicates(docs), "kept")
+def keep_representatives(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any more columns) that near_duplicates keeps at ``similarity``, repeated ids once; rows without an id stay."""
+    found = materialize(near_duplicates(docs, similarity=similarity), "kept")
     kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
     # the kept ids grow with the corpus: merged at every size, never broadcast
     rows = docs.join(kept.hint("merge"), docs["doc_id"] == kept["__kept"], "left_semi")

@@ -5,6 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from maskwright.llm import near_dedup
 
 from .test_text_operators import shingles
@@ -37,3 +38,11 @@ def test_matches_follow_the_similarity():
     assert [near_dedup.least_matches(s) for s in (85, 80)] == [38, 33]
     draws = np.random.default_rng(3).binomial(near_dedup.COORDINATES, 0.6, 1_000_000)
     assert (draws < near_dedup.least_matches(60)).sum() <= 3 and near_dedup.least_matches(1) == 1 and near_dedup.least_matches(100) == 64
+
+
+def test_the_pipeline_drops_near_copies_from_80_percent(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = linked([(r["doc_id"], r["text"]) for r in docs.collect()], 80)
+    assert {1, 6} == {want[177], want[145]}  # at 0.80 to 0.85
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
