@@ -35,6 +35,14 @@ def test_language_of_odd_rows(spark, hostile):
     assert {r["lang_pred"] for r in language_id.identify(hostile, nothing).collect()} == {"und"}
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(i, "the of and on in " * 9, "en") for i in range(6)] + [(10 + i, "été le la les de " * 2_000, "fr") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = language_id.train(docs, F.lit(True))
+    assert models.languages == ["en", "fr"]
+    assert {(r["doc_id"] >= 10, r["lang_pred"], r["accepted"]) for r in language_id.identify(docs, models).collect()} == {(False, "en", True), (True, "fr", True)}
+
+
 def test_kneser_ney_sums_to_one():
     models = language_id.fit({"en": ["the cat sat on the mat and the dog sat too"] * 3})
     chars = sorted(set("the cat sat on the mat and the dog sat too"))
