@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import materialize, with_running_totals
 from .textcore import distinct, mix, shingle_sets, shingles_by_text
 
 #: Signature coordinates, and the probability at most with which a linked pair agrees in too few of them.
@@ -300,11 +300,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any more columns) that near_duplicates keeps at ``similarity``, repeated ids once; rows without an id stay."""
-    found = materialize(near_duplicates(docs, similarity=similarity), "kept")
-    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept"))
+    """The rows of ``docs`` (doc_id, text and any more columns) that near_duplicates keeps at ``similarity``, repeated
+    rows once; rows without an id stay. Where an id stands on different texts, each text is kept or dropped as its own."""
+    some = docs.where(docs["doc_id"].isNotNull())
+    by_text = some.select("doc_id", F.xxhash64("text").alias("__text"))
+    ids = "doc_id"
+    if by_text.groupBy("doc_id").agg((F.min("__text") != F.max("__text")).alias("clash")).where("clash").limit(1).count():
+        # texts are told apart by their place in the order of the ids
+        places = with_running_totals(by_text.distinct(), ["doc_id", "__text"], {}, "__row").select(F.col("doc_id").alias("__id"), F.col("__text").alias("__hash"), "__row")
+        some = materialize(some.join(places.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))).select(*(some[c] for c in docs.columns), "__row"), "rows")
+        ids = "__row"
+    found = materialize(near_duplicates(some, id_col=ids, similarity=similarity), "kept")
+    kept = found.where("kept").select(F.col(ids).alias("__kept"))
     # the kept ids grow with the corpus: merged at every size, never broadcast
-    rows = docs.join(kept.hint("merge"), docs["doc_id"] == kept["__kept"], "left_semi")
+    rows = some.join(kept.hint("merge"), some[ids] == kept["__kept"], "left_semi")
     if kept.groupBy("__kept").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where(docs["doc_id"].isNull()))
+        rows = rows.dropDuplicates([ids])
+    return rows.select(*docs.columns).unionByName(docs.where(docs["doc_id"].isNull()))

@@ -46,3 +46,11 @@ def test_the_pipeline_drops_near_copies_from_80_percent(spark):
     assert {1, 6} == {want[177], want[145]}  # at 0.80 to 0.85
     kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "").select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(want.values()))
+
+
+def test_texts_of_clashing_ids_stand_for_themselves(spark):
+    own = [" ".join(f"{w}{i}" for i in range(30)) for w in "abcd"]
+    rows = [(1, own[0]), (2, own[1]), (2, own[0] + " more"), (3, own[2]), (3, own[3]), (3, own[3]), (4, None), (4, own[1]), (None, own[0])]
+    got = near_dedup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string"), 80)
+    want = [(1, own[0]), (2, own[1]), (3, own[2]), (3, own[3]), (4, None), (None, own[0])]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
