@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import let, running
+
 
 def dedupe_exact(matches: DataFrame) -> DataFrame:
     """One row for each (type, span) of a page: the highest confidence, the first of equal ones, in the first one's place."""
@@ -29,21 +31,20 @@ def dedupe_nested(matches: DataFrame) -> DataFrame:
 
 
 def unnested(matches: Column) -> Column:
-    """``dedupe_nested`` of one page's matches in an array of MATCH, by start and ordinal; row-local.
+    """``dedupe_nested`` of one page's matches in an array of MATCH, by start and ordinal; row-local, in linear time.
 
     One pass over the sorted array carries the greatest end of earlier starts
     and that of the current start.
     """
-    kind = "array<struct<start_pos:int,ord:bigint,end_pos:int,type:string,text:string,confidence:double,source:string>>"
     rows = F.array_sort(F.transform(matches, lambda m: F.struct(*(m[c].alias(c) for c in ("start_pos", "ord", "end_pos", "type", "text", "confidence", "source")))))
-    start = F.struct(F.from_json(F.lit("[]"), kind).alias("kept"), F.lit(-1).alias("outer"), F.lit(-1).alias("at"), F.lit(-1).alias("same"))
+    before = F.struct(F.lit(-1).alias("outer"), F.lit(-1).alias("at"), F.lit(-1).alias("same"), F.lit(False).alias("nested"))
 
     def step(a: Column, m: Column) -> Column:
         new = m["start_pos"] != a["at"]
         outer = F.when(new, F.greatest(a["outer"], a["same"])).otherwise(a["outer"])
         same = F.when(new, F.lit(-1)).otherwise(a["same"])
         nested = (outer >= m["end_pos"]) | (same > m["end_pos"])
-        return F.struct(
-            F.when(nested, a["kept"]).otherwise(F.concat(a["kept"], F.array(m))).alias("kept"), outer.alias("outer"), m["start_pos"].alias("at"), F.greatest(same, m["end_pos"]).alias("same"))
+        return F.struct(outer.alias("outer"), m["start_pos"].alias("at"), F.greatest(same, m["end_pos"]).alias("same"), nested.alias("nested"))
 
-    return F.aggregate(rows, start, step, lambda a: F.transform(a["kept"], lambda m: F.struct(*(m[c].alias(c) for c in ("ord", "type", "text", "start_pos", "end_pos", "confidence", "source")))))
+    passed = let(rows, lambda r: let(running(r, before, "struct<outer:int,at:int,same:int,nested:boolean>", step), lambda s: F.filter(r, lambda _, i: ~F.get(s, i)["nested"])))
+    return F.transform(passed, lambda m: F.struct(*(m[c].alias(c) for c in ("ord", "type", "text", "start_pos", "end_pos", "confidence", "source"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import SPACES
 from .patterns import BLOCK, NAME_SEQUENCE, PATTERNS
-from .spans import find_all, find_literal
+from .spans import find_all, find_literal, let, merge_spans, with_parts
 
 SEQUENCE_CONFIDENCE, PERSON_CONFIDENCE = 0.55, 0.65
 # Fixed values, lower case: words that no name holds, and places that are no names.
@@ -86,16 +86,13 @@ def merge_names(spans: DataFrame, pages: DataFrame | None = None) -> DataFrame:
 def name_matches(text: Column) -> Column:
     """Merged capitalised sequences of a text, row-local: array of MATCH of type ``name``, after those of the rules."""
 
-    def join(a: Column, m: Column) -> Column:
-        last = F.get(a, F.size(a) - 1)
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], m["end"]).alias("end"))
-        fresh = F.struct(m["start"].alias("start"), m["end"].alias("end"))
-        return F.when((F.size(a) > 0) & (m["start"] <= last["end"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(longer))).otherwise(F.concat(a, F.array(fresh)))
 
-    merged = F.aggregate(name_candidates(text), F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>"), join)
-    return F.transform(merged, lambda m, i: F.struct(
-        (i.cast("long") + len(PATTERNS) * BLOCK).alias("ord"), F.lit("name").alias("type"), F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("text"),
-        m["start"].alias("start_pos"), m["end"].alias("end_pos"), F.lit(SEQUENCE_CONFIDENCE).cast("double").alias("confidence"), F.lit("nlp").alias("source")))
+    def named(merged: Column, part) -> Column:
+        return F.transform(merged, lambda m, i: F.struct(
+            (i.cast("long") + len(PATTERNS) * BLOCK).alias("ord"), F.lit("name").alias("type"), part(m["start"], m["end"] - m["start"]).alias("text"),
+            m["start"].alias("start_pos"), m["end"].alias("end_pos"), F.lit(SEQUENCE_CONFIDENCE).cast("double").alias("confidence"), F.lit("nlp").alias("source")))
+
+    return let(name_candidates(text), lambda found: F.when(F.size(found) > 0, with_parts(text, lambda part: let(merge_spans(found), lambda merged: named(merged, part)))))
 
 
 def detect_names(pages: DataFrame, people: DataFrame | None = None) -> DataFrame:

@@ -84,13 +84,14 @@ def birth_context(text: Column, start: Column) -> Column:
     return F.substring(text, F.greatest(F.lit(1), start - BIRTH_WINDOW + 1), F.least(F.lit(BIRTH_WINDOW), start)).rlike(BIRTH_CONTEXT)
 
 
-def confidence(p: Pattern, x: Column, text: Column, start: Column) -> Column:
-    """A match's confidence: lowered by a failed check, raised by a birth context."""
+def confidence(p: Pattern, m: Column) -> Column:
+    """The confidence of a match of ``find_all``: lowered by a failed check, raised by a birth context (what announces a
+    date stands between the match before it and the date)."""
     c = F.lit(p.confidence).cast("double")
     if p.valid is not None:
-        c = F.when(p.valid(x), c).otherwise(c * F.lit(INVALID_FACTOR).cast("double"))
+        c = F.when(p.valid(m["x"]), c).otherwise(c * F.lit(INVALID_FACTOR).cast("double"))
     if p.type == "date_naissance":
-        c = F.when(birth_context(text, start), F.greatest(c, F.lit(BIRTH_CONFIDENCE).cast("double"))).otherwise(c)
+        c = F.when(F.right(F.concat(m["prior"], m["before"]), F.lit(BIRTH_WINDOW)).rlike(BIRTH_CONTEXT), F.greatest(c, F.lit(BIRTH_CONFIDENCE).cast("double"))).otherwise(c)
     return c
 
 
@@ -106,7 +107,7 @@ def pattern_matches(text: Column, patterns: list[Pattern] | None = None, strict:
         def shape(m: Column, k: int, p: Pattern) -> Column:
             return F.struct(
                 (m["occ"].cast("long") + k * BLOCK).alias("ord"), F.lit(p.type).alias("type"), m["x"].alias("text"), m["start"].alias("start_pos"), m["end"].alias("end_pos"),
-                confidence(p, m["x"], text, m["start"]).alias("confidence"), F.lit("regex").alias("source"))
+                confidence(p, m).alias("confidence"), F.lit("regex").alias("source"))
 
         found = find_all(text, p.regex)
         if strict and p.valid is not None:

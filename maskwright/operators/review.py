@@ -11,7 +11,6 @@ from .patterns import LABELS
 
 INCLUDE_FROM = 0.5
 LEAST_ZONE = 0.005
-ZONES = "array<struct<page:int,box:struct<x:double,y:double,width:double,height:double>>>"
 
 
 def default_included(detections: DataFrame) -> DataFrame:
@@ -44,8 +43,16 @@ def zones(detections: DataFrame, manual: DataFrame) -> DataFrame:
 
 
 def parse_zones(raw: Column) -> Column:
-    """Zones of a JSON array; null where the text is no array."""
-    return F.when(F.trim(raw).startswith("["), F.from_json(raw, ZONES))
+    """Zones (page, box) of a JSON array; null where the text is no JSON array.
+
+    Elements that are no objects are skipped and the others stay; a number
+    that is missing or none is null in its zone.
+    """
+    items = F.try_variant_get(F.try_parse_json(raw), "$", "array<variant>")
+    objects = F.filter(items, lambda z: F.schema_of_variant(z).startswith("OBJECT"))
+    side = lambda z, c: F.try_variant_get(z, f"$.box.{c}", "double").alias(c)
+    return F.transform(objects, lambda z: F.struct(
+        F.try_variant_get(z, "$.page", "int").alias("page"), F.struct(*(side(z, c) for c in ("x", "y", "width", "height"))).alias("box")))
 
 
 def zones_by_page(zone_rows: DataFrame) -> DataFrame:

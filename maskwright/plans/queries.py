@@ -241,7 +241,7 @@ def dedupe_exact(spark, d):
 CTE["replies"] = (
     "select c_custkey as doc_id, 0 as page, case c_custkey % 5 when 0 then '{\"items\":[{\"type\":\"name\",\"text\":\"Jean Dupont\"},{\"type\":\"name\",\"text\":\"ne\"},{\"type\":\"email\",\"text\":\"exemple.fr\"},{\"type\":\"postal_address\",\"text\":\"rue de la Gare\"}]}'"
     " when 1 then '{\"items\":[null,\"x\",{\"type\":\"name\",\"text\":5},{\"type\":\"custom\",\"text\":\"dossier AB\"},{\"type\":\"name\",\"text\":\"Monsieur\"},{\"type\":\"name\",\"text\":\"Jean\"}]}'"
-    " when 2 then 'not json' when 3 then '{\"items\":{\"type\":\"name\"}}' else '{\"items\":[{\"type\":\"custom\",\"text\":\"AB' || lpad(c_custkey::varchar, 8, '0') || '\"},{\"type\":\"name\",\"text\":\"exemple\"}]}' end as raw from customer"
+    " when 2 then 'not json' when 3 then '{\"items\":{\"type\":\"name\"}}' else '{\"items\":[{\"type\":\"custom\",\"text\":\"AB' || lpad(c_custkey::varchar, 8, '0') || '\"},{\"type\":\"name\",\"text\":\"exemple\"},{\"type\":\"custom\",\"text\":\"C:' || chr(92) || chr(92) || 'Etc\"}]}' end as raw from customer"
 )
 CTE["reply_items_"] = (
     "select doc_id, page, cast(i as int) as seq, item ->> '$.type' as type, item ->> '$.text' as candidate from (select doc_id, page, i, json_extract(raw, '$.items[' || i || ']') as item from (select *, unnest(generate_series(0, 9)) as i from replies where json_valid(raw) and json_type(raw, '$.items') = 'ARRAY'))"
@@ -579,7 +579,7 @@ def zones(spark, d):
 )
 def parse_zones(spark, d):
     one = "'{{\"page\":' || cast(cast(k % 7 + {i} as int) as string) || ',\"box\":{{\"x\":' || cast((k % 8) / 8D as string) || ',\"y\":0.25,\"width\":' || cast(0.5D / ({i} + 1) as string) || ',\"height\":0.125}}}}'"
-    raw = f"case when k % 3 = 0 then '{{\"page\":1}}' else '[' || {one.format(i=0)} || ',' || {one.format(i=1)} || ']' end"
+    raw = f"case when k % 3 = 0 then '{{\"page\":1}}' else chr(10) || '[' || {one.format(i=0)} || ',5,null,' || {one.format(i=1)} || ',\"x\"]' end"
     rows = relations.table(spark, d, "customer").select(F.col("c_custkey").alias("k")).select("k", F.expr(raw).alias("raw"))
     got = rows.select(F.col("k").alias("id"), F.explode(review.parse_zones(F.col("raw"))).alias("z"))
     return got.select("id", F.col("z.page").cast("string").alias("page"), _u(F.col("z.box.x")).alias("x_u"), _u(F.col("z.box.width")).alias("width_u"))

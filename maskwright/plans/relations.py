@@ -18,7 +18,7 @@ LETTER = """
 || 'NIR ' || cast(k % 2 + 1 as {s}) || ' ' || lpad(cast(k % 100 as {s}), 2, '0') || ' ' || lpad(cast(k % 12 + 1 as {s}), 2, '0') || ' 78 006 084 36' || chr(10)
 || 'Signé le ' || cast(k % 28 + 1 as {s}) || ' ' || case k % 3 when 0 then 'janvier' when 1 then 'février' else 'décembre' end || ' ' || cast(2000 + k % 25 as {s})
 || ', dossier AB' || lpad(cast(k as {s}), 8, '0') || ', mail c' || cast(k as {s}) || '@exemple.fr.' || chr(10)
-|| 'Bureau +44 2079 46' || lpad(cast(k % 100 as {s}), 2, '0') || ' 58, 00' || cast(k % 7 as {s}) || 'é75001 Saint-Malo' || chr(10)
+|| 'Bureau +44 2079 46' || lpad(cast(k % 100 as {s}), 2, '0') || ' 58, 00' || cast(k % 7 as {s}) || 'é75001 Saint-Malo, C:' || chr(92) || 'Etc' || chr(10)
 """
 
 
@@ -68,7 +68,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     raw = F.expr("""case k % 5 when 0 then '{"items":[{"type":"name","text":"Jean Dupont"},{"type":"name","text":"ne"},{"type":"email","text":"exemple.fr"},{"type":"postal_address","text":"rue de la Gare"}]}'
         when 1 then '{"items":[null,"x",{"type":"name","text":5},{"type":"custom","text":"dossier AB"},{"type":"name","text":"Monsieur"},{"type":"name","text":"Jean"}]}'
-        when 2 then 'not json' when 3 then '{"items":{"type":"name"}}' else '{"items":[{"type":"custom","text":"AB' || lpad(cast(k as string), 8, '0') || '"},{"type":"name","text":"exemple"}]}' end""")
+        when 2 then 'not json' when 3 then '{"items":{"type":"name"}}' else '{"items":[{"type":"custom","text":"AB' || lpad(cast(k as string), 8, '0') || '"},{"type":"name","text":"exemple"},{"type":"custom","text":"C:' || chr(92) || chr(92) || 'Etc"}]}' end""")
     return c.select(F.col("k").alias("doc_id"), F.lit(0).alias("page"), raw.alias("raw"))
 
 

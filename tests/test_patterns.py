@@ -1,6 +1,7 @@
 """Rules: known cases, the dialect, interactions, and offsets against a plain scan."""
 
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,6 +13,7 @@ from maskwright.functions.iban import iban_valid
 from maskwright.operators import patterns
 from maskwright.operators.patterns import PATTERNS, detect_patterns, register_pattern
 from maskwright.operators.spans import find_all, find_literal
+from maskwright.plans.detect import redact_pages
 
 CASES = [
     ("email", "Contact : jean.dupont@example.fr pour toute question.", "equals", ["jean.dupont@example.fr"]),
@@ -90,6 +92,23 @@ def test_many_matches_and_literals(spark):
     assert [r["start"] for r in got] == [3 * i + 1 for i in range(5000)]
     literal = lambda i, x: [r["start"] for r in df.where(f"doc_id = {i}").select(F.inline(find_literal(F.col("text"), F.lit(x)))).collect()]
     assert literal(1, "a.b") == [0, 4] and literal(1, ".") == [1, 5] and literal(3, "aa") == [0] and literal(3, "") == [] and literal(2, "x") == []
+    odd = spark.createDataFrame([(0, 0, "C:\\Etc \\Q\\E end\\")], "doc_id long, page int, text string")
+    for x, want in (("C:\\Etc", [0]), ("\\E", [2, 9]), ("\\Q\\E", [7]), ("\\", [2, 7, 9, 15]), ("end\\", [12])):
+        assert [r["start"] for r in odd.select(F.inline(find_literal(F.col("text"), F.lit(x)))).collect()] == want
+
+
+def test_time_is_linear_in_the_matches(spark):
+    def seconds(n):
+        df = pages(spark, [" ".join(f"a{i}@b.fr né le 01/02/1990 Jean Petit" for i in range(n))])
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            assert redact_pages(df).selectExpr("length(replace(text, '█', ''))").first()[0] == 9 * n - 1
+            best = min(best, time.time() - began)
+        return best
+
+    seconds(500)
+    assert seconds(32_000) <= 4.5 * max(seconds(8_000), 1.0)
 
 
 def test_register_pattern(spark):

@@ -94,8 +94,8 @@ def test_review(spark):
     drags = spark.createDataFrame([(1, "a", 0, -0.5, 0.2, 0.5, 0.1), (1, "b", 0, 0.1, 0.1, 0.105, 0.5), (1, "c", 0, 0.1, 0.1, 0.104, 0.5)], "doc_id long, zone_id string, page int, x0 double, y0 double, x1 double, y1 double")
     got = {r["zone_id"]: r["box"] for r in review.manual_zones(drags).collect()}
     assert got["a"]["x"] == 0 and got["a"]["width"] == 0.5 and "c" not in got
-    raw = spark.createDataFrame([('[{"page":1,"box":{"x":0.5}}]',), ('{"page":1}',), ("x",), (None,)], "r string")
-    assert [len(r[0]) if r[0] is not None else None for r in raw.select(review.parse_zones(F.col("r"))).collect()] == [1, None, None, None]
+    raw = spark.createDataFrame([('[{"page":1,"box":{"x":0.5}}]',), ('{"page":1}',), ("x",), (None,), ('\n [{"page":1}, 5, null, "x", {"page":2}]',)], "r string")
+    assert [len(r[0]) if r[0] is not None else None for r in raw.select(review.parse_zones(F.col("r"))).collect()] == [1, None, None, None, 2]
     names = spark.createDataFrame([("a.PDF",), ("b.pdf.txt",)], "n string").select(redact.output_name(F.col("n"))).collect()
     assert [r[0] for r in names] == ["a_anonymise.pdf", "b.pdf.txt_anonymise.pdf"]
 
