@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     pointed at the smallest one, so the rounds grow with the logarithm of the
     longest chain. Minima are taken by a partial aggregation and joined back,
     so a node with many neighbours is never gathered in one place. Null ends
-    and self-loops link nothing; no edges give no rows.
+    and self-loops link nothing; repeated edges and either direction count
+    once; no edges give no rows. A round's table goes when the next one is
+    written.
     """
     pairs = (
         edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo"))
@@ -31,12 +33,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(lowest, "hi")
-        pairs = materialize(
+        last, pairs = pairs, materialize(
             small.select(F.col("hi"), F.col("m").alias("lo"))
             .union(small.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")))
             .distinct(),
             "pairs",
         )
+        discard(last)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Links of a node in upper layers; twice as many in the lowest.
 DEGREE = 12
 BEAM = 48
-_QUERIES = 256
+_QUERIES, _SCAN = 256, 4096
 
 
 def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,43 +140,53 @@ class Graph:
         q = queries.astype(np.float32)
         return beam_search(self.vectors, self.links[0], q, self._entries(q, len(self.vectors), 0), beam)
 
-    def within(self, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, node) of cosine >= threshold, in double precision on what the beams hold. A query whose
-        whole beam is that near gets a beam four times as wide, up to the shard. A beam of all nodes scans them."""
-        n, out = len(self.vectors), []
+    def within(self, queries: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) of cosine >= threshold or a little less (single precision), in runs: the caller verifies
+        them and holds no more than a run. A query whose whole beam is that near gets a beam four times as wide, up to
+        the shard. A beam of all nodes scans them."""
+        n = len(self.vectors)
         for lo in range(0, len(queries), _QUERIES):
             todo = np.arange(lo, min(len(queries), lo + _QUERIES))
             wide = beam
             while len(todo):
                 if wide >= n:
-                    ids = np.tile(np.arange(n), (len(todo), 1))
-                    sims = queries[todo].astype(np.float32) @ self.vectors.T
-                else:
-                    ids, sims = self.search(queries[todo], wide)
-                full = (sims[:, -1] >= threshold - 1e-3) if wide < n else np.zeros(len(todo), bool)
+                    for at in range(0, n, _SCAN):
+                        near = queries[todo].astype(np.float32) @ self.vectors[at : at + _SCAN].T
+                        r, c = np.nonzero(near >= threshold - 1e-3)
+                        yield todo[r], c + at
+                    break
+                ids, sims = self.search(queries[todo], wide)
+                full = sims[:, -1] >= threshold - 1e-3
                 r, c = np.nonzero((sims >= threshold - 1e-3) & ~full[:, None])
-                out.append((todo[r], ids[r, c]))
+                yield todo[r], ids[r, c].astype(np.int64)
                 todo, wide = todo[full], wide * 4
-        return tuple(np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 2
 
-    def audited_beam(self, vectors: np.ndarray, threshold: float, recall: float, audits: int = 128) -> int:
-        """The least beam (BEAM, doubled as often as needed) whose answers to a sample of the shard's own vectors hold
-        ``recall`` of the links, and of the ten nearest, that a scan finds."""
-        n = len(vectors)
-        at = np.unique(np.linspace(0, n - 1, min(n, audits)).astype(int))
-        sims = vectors[at] @ vectors.T
+    def audited_beam(self, queries: np.ndarray, threshold: float, recall: float, own: bool = False, audits: int = 128) -> tuple[int, int, int]:
+        """The least beam (BEAM, doubled as often as needed) whose answers to a sample of ``queries`` hold ``recall`` of the
+        links, and of the ten nearest, that a scan finds; the links of the sample, and how many of them that beam finds.
+
+        ``own``: the queries are the shard's vectors, and none is its own link or neighbour.
+        """
+        n = len(self.vectors)
+        at = np.unique(np.linspace(0, len(queries) - 1, min(len(queries), audits)).astype(int))
+        sims = queries[at] @ self.vectors.T.astype(np.float64)
+        if own:
+            sims[np.arange(len(at)), at] = -np.inf
         nearest = np.argsort(-sims, axis=1)[:, :10]
-        true = {(int(a), int(b)) for a, b in zip(*np.nonzero(sims >= threshold), strict=True)}
+        there = np.take_along_axis(sims, nearest, 1) > -np.inf
+        true = sims >= threshold
         beam = BEAM
         while beam < n:
-            ids, _ = self.search(vectors[at], beam)
-            q, t = self.within(vectors[at], threshold, beam)
-            got = set(zip(q.tolist(), t.tolist(), strict=True))
-            ten = np.mean([np.isin(a, b).mean() for a, b in zip(nearest, ids, strict=True)])
-            if ten >= recall and len(true & got) >= recall * len(true):
-                return beam
+            ids, _ = self.search(queries[at], beam)
+            got = np.zeros(true.shape, bool)
+            for q, t in self.within(queries[at], threshold, beam):
+                got[q, t] = True
+            ten = [np.isin(a[k], b).mean() for a, b, k in zip(nearest, ids, there, strict=True) if k.any()]
+            held = int((true & got).sum())
+            if (not ten or np.mean(ten) >= recall) and held >= recall * true.sum():
+                return beam, int(true.sum()), held
             beam *= 2
-        return n
+        return n, int(true.sum()), int(true.sum())
 
     def dumps(self) -> bytes:
         out = io.BytesIO()

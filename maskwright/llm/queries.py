@@ -43,7 +43,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_vectors
 
-    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("recall")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

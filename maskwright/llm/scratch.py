@@ -1,8 +1,10 @@
 """Intermediate tables that every executor can read, and what is built on them.
 
 Lineage is cut by writing a table under ``spark.checkpoint.dir`` of the
-session. Only where that setting is missing (tests, a laptop) a folder of the
-machine's temporary space is taken.
+session, or the folder given to ``SparkContext.setCheckpointDir``. Where
+neither is set, a local master (tests, a laptop) gets a folder of the
+machine's temporary space; on a cluster, whose executors could not read each
+other's part of it, that is an error.
 """
 
 from __future__ import annotations
@@ -17,20 +19,32 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
+#: Attribute of a DataFrame that holds the place of the table it reads.
+_PLACE = "_maskwright_table"
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that holds this application's intermediate tables."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            shared = "file://" + tempfile.mkdtemp(prefix="maskwright-")
-        _roots[app] = f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
+        _roots[app] = f"{_shared(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
         atexit.register(release, spark)
     return _roots[app]
 
 
+def _shared(spark: SparkSession) -> str:
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_.isDefined():
+        return set_.get()
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="maskwright-")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session, which hold whole texts: 1,000 rows and 16 MB at most."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
@@ -44,19 +58,32 @@ def release(spark: SparkSession) -> None:
     try:
         root = _roots.pop(spark.sparkContext.applicationId, None)
         if root:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, root)
     except Exception:  # the JVM may be gone already when the interpreter ends
         return
 
 
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a reader of what was written (no lineage)."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    setattr(out, _PLACE, path)
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote, once nothing that is still to run reads it."""
+    for table in tables:
+        place = getattr(table, _PLACE, None)
+        if place:
+            _delete(table.sparkSession, place)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
