@@ -19,6 +19,10 @@ COORDINATES, MISSED = 64, 2e-7
 SIMILARITY = 85  # percent
 #: Shingles (with repeats) of a block of candidates that one task takes; larger blocks are cut in parts.
 BLOCK_SHINGLES = 6_000_000
+#: Members of a posting list of a large block whose signatures one task compares.
+SIGNATURES = 4000
+#: What tells texts' sets apart. Classes above one in HOT of the rows are broadcast.
+KEY, HOT = ("n_shingles", "set_a", "set_b"), 1000
 _rng = np.random.default_rng(20240117)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -208,16 +212,33 @@ def _parts(weight: Column, block_shingles: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(weight / block_shingles)).cast("int")
 
 
-def _large_blocks(texts: DataFrame, forest: DataFrame, similarity: int, block_shingles: int) -> DataFrame:
-    """Forest rows of the links that cross the parts of large blocks. ``texts``: rep, block, text; ``forest``: their
-    links within parts.
+def _with_partner(signatures: np.ndarray, sizes: np.ndarray, components: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether a member may be linked with one of another component: enough coordinates agree, and the sizes allow it."""
+    out, matches = np.zeros(len(sizes), bool), least_matches(similarity)
+    for lo in range(0, len(sizes), 64):
+        part = slice(lo, lo + 64)
+        agree = np.zeros((len(sizes[part]), len(sizes)), np.uint8)
+        for c in range(COORDINATES):
+            agree += signatures[part, c, None] == signatures[None, :, c]
+        near = (agree >= matches) & (components[part, None] != components[None])
+        near &= 100 * np.minimum(sizes[part, None], sizes[None]) >= similarity * np.maximum(sizes[part, None], sizes[None])
+        out[part] |= near.any(1)
+        out |= near.any(0)
+    return out
+
+
+def _large_blocks(texts: DataFrame, classes: DataFrame, forest: DataFrame, similarity: int, block_shingles: int) -> DataFrame:
+    """Forest rows of the links that cross the parts of large blocks. ``texts``: rep, block, text; ``classes``: their
+    signatures and sizes; ``forest``: their links within parts.
 
     Linked sets share one of the n - ceil(similarity * n) + 1 shingles of each
     that are rarest in the block. Members are posted under these (shingles of
     one member need no posting and fill the prefix first), and only the lists
-    whose members are not all in one component yet are confirmed. Lists of the
-    same members are confirmed once. A list that is itself above the bound is
-    cut in parts, and each pair of parts is a task.
+    whose members are not all in one component yet are looked at. A list's
+    members first meet by signature; those that may be linked with a member of
+    another component go on, lists that are left with the same members count
+    once, and only then texts are sent and links confirmed. A list above the
+    bounds is cut in parts, and each pair of parts is a task.
     """
 
     def explode(batches):
@@ -229,6 +250,16 @@ def _large_blocks(texts: DataFrame, forest: DataFrame, similarity: int, block_sh
                 ids = [np.repeat(part.column(c).to_numpy(), n) for c in (1, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*ids, np.repeat(n, n), np.concatenate(sets).view(np.int64))], names=["block", "rep", "n", "token"])
 
+    def cut(members: DataFrame, parts: Column) -> DataFrame:
+        """Each member goes to the tasks (i, j) of its part with every part."""
+        part = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        sends = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
+        return part.withColumn("task", F.explode(sends)).withColumn("i", F.col("task.i")).withColumn("j", F.col("task.j")).withColumn("side", (F.col("part") != F.col("i")).cast("int")).drop("task", "parts", "part")
+
+    def flag(pdf: pd.DataFrame) -> pd.DataFrame:
+        sig = np.frombuffer(b"".join(pdf.signature), np.uint32).reshape(-1, COORDINATES)
+        return pdf[_with_partner(sig, pdf.n.to_numpy(), pdf.component.to_numpy(), similarity)][["block", "token", "rep", "n"]]
+
     tokens = texts.select("rep", "block", "text").mapInArrow(explode, "block long, rep long, n long, token long")
     often = tokens.groupBy("block", "token").agg(F.count("*").alias("df")).where("df > 1")
     least = F.ceil(F.col("n") * similarity / 100).cast("int")
@@ -236,14 +267,35 @@ def _large_blocks(texts: DataFrame, forest: DataFrame, similarity: int, block_sh
     posted = shared.select("block", "rep", "n", F.explode(F.transform(F.slice(F.array_sort("t"), F.lit(1), F.size("t") - least + 1), lambda x: x["token"])).alias("token"))
     label = connected_components(forest)
     posted = materialize(posted.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "posted")
-    lists = posted.groupBy("block", "token").agg(F.min("component").alias("a"), F.max("component").alias("z"), F.sum("n").alias("w"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members"))
-    live = lists.where("a != z").groupBy("block", "n", "members").agg(F.min("token").alias("token"), F.first("w").alias("w"))
-    live = live.select("block", "token", _parts(F.col("w"), block_shingles).alias("parts"))
-    hits = posted.select("block", "token", "rep").join(live, ["block", "token"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    sends = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
-    sent = hits.withColumn("task", F.explode(sends)).select("block", "token", "rep", "part", F.col("task.i").alias("i"), F.col("task.j").alias("j"))
-    sent = sent.withColumn("side", (F.col("part") != F.col("i")).cast("int")).join(texts.select("rep", "text"), "rep")
-    return _confirm(sent, ["block", "token", "i", "j"], similarity)
+    members = [F.count("*").alias("members"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum")]
+    lists = posted.groupBy("block", "token").agg(F.min("component").alias("a"), F.max("component").alias("z"), *members)
+    live = lists.where("a != z").groupBy("block", "members", "sum").agg(F.min("token").alias("token")).select("block", "token", "members")
+    hits = cut(posted.join(live, ["block", "token"]), F.ceil(F.col("members") / SIGNATURES).cast("int"))
+    hits = hits.join(classes.select("rep", "signature"), "rep").select("block", "token", "i", "j", "rep", "n", "component", "signature")
+    flagged = materialize(hits.groupBy("block", "token", "i", "j").applyInPandas(flag, "block long, token long, rep long, n long").distinct(), "flagged")
+    left = flagged.groupBy("block", "token").agg(F.sum("n").alias("w"), *members).groupBy("block", "members", "sum").agg(F.min("token").alias("token"), F.max("w").alias("w"))
+    sent = cut(flagged.join(left.select("block", "token", "w"), ["block", "token"]), _parts(F.col("w"), block_shingles))
+    return _confirm(sent.join(texts.select("rep", "text"), "rep"), ["block", "token", "i", "j"], similarity)
+
+
+def _of_rows(signed: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """``signed`` (doc_id, KEY) with the component of each row's class in ``classes`` (KEY, component, n).
+
+    The classes that hold more than a thousandth of the rows, fewer than a
+    thousand, are broadcast, so that no join key is hot; the others meet their
+    rows in a shuffle. Rows with an empty set or without an id stay out of it.
+    """
+    hot = F.col("n") * HOT > F.lit(total)
+    key = lambda c: c.select(*(F.col(k).alias(f"k_{k}") for k in KEY), "component")
+    on = [F.col(k) == F.col(f"k_{k}") for k in KEY]
+    inside = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    out = signed.where(~inside).select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    some = signed.where(inside).select("doc_id", *KEY)
+    large = F.broadcast(key(classes.where(hot)))
+    rest = some.join(large.drop("component"), on, "left_anti").join(key(classes.where(~hot)).hint("merge"), on)
+    for part in (some.join(large, on), rest):
+        out = out.unionByName(part.select("doc_id", "n_shingles", "component"))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -270,8 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialize(sign(rows), "signed")
-    key = ["n_shingles", "set_a", "set_b"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("n_repeats").alias("n_repeats"), F.count("*").alias("n"))
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.min("signature").alias("signature"), F.min("n_repeats").alias("n_repeats"), F.count("*").alias("n"))
     classes = materialize(classes, "classes")
     blocks = materialize(candidate_blocks(classes, similarity), "blocks")
     inside = blocks.join(classes.select("rep", "n_repeats"), "rep")
@@ -285,23 +336,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = materialize(_confirm(texts.unionByName(more), ["block", "part"], similarity), "found")
         crossing = texts.where("parts > 1")
         forest = found.join(crossing.select(F.col("rep").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        found = materialize(found.unionByName(_large_blocks(crossing, forest, similarity, block_shingles)), "found")
+        found = materialize(found.unionByName(_large_blocks(crossing, classes, forest, similarity, block_shingles)), "found")
     else:
         found = materialize(_confirm(texts, ["block", "part"], similarity), "found")
     # a rep in more than one task (a cut block, a repeated id) may have several labels
     loose = large or found.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     label = connected_components(found) if loose else found.groupBy("dst").agg(F.min("src").alias("component")).join(found, "dst").select(F.col("src").alias("node"), "component")
-    named = classes.select(*(F.col(k).alias(f"k_{k}") for k in key), "rep")
-    own = signed.join(named, [F.col(k) == F.col(f"k_{k}") for k in key] + [F.col("doc_id").isNotNull()], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    out = own.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
-    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"))
+    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*KEY, "n", F.coalesce("component", "rep").alias("component"))
+    named = materialize(named, "named")
+    out = _of_rows(signed, named, signed.count())
+    out = out.select(F.col("doc_id").alias(id_col), "n_shingles", F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def keep_representatives(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and any more columns) that near_duplicates keeps at ``similarity``, repeated
-    rows once; rows without an id stay. Where an id stands on different texts, each text is kept or dropped as its own."""
+    """The rows of ``docs`` (doc_id, text and any more columns) that near_duplicates keeps at ``similarity``.
+
+    Of each group the row of least id stays; repeated rows stay once. Rows
+    without an id, and texts that are null or blank, are near copies of nothing
+    and stay. Where an id stands on different texts, each text is kept or
+    dropped as its own. An empty table gives no rows.
+    """
     some = docs.where(docs["doc_id"].isNotNull())
     by_text = some.select("doc_id", F.xxhash64("text").alias("__text"))
     ids = "doc_id"
