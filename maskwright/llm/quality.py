@@ -88,55 +88,63 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     return float(np.clip(min(ratio), 0.02, 0.98))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with logistic loss, and the direction to descend against: its
+    gradient, or, while the bracket is negative, the bracket's upwards."""
+    zp, zu = p @ w, u @ w
+    rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    up = p.T @ (_sigmoid(zp) - 1) / len(p)
+    down = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+    return float(prior * np.logaddexp(0, -zp).mean() + max(0.0, rest)), prior * up + down if rest >= 0 else -down
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 400, decay: float = 1e-3) -> Scorer:
-    """Minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with logistic loss and a linear scorer.
+    """Minimise the non-negative ``risk`` of a linear scorer.
 
     Where the class prior is not given, it is estimated from a scorer that
-    tells half of the positives from the unlabelled, on the other half. While
-    the bracket is negative its gradient is followed upwards.
+    tells half of the positives from the unlabelled, on the other half.
     """
     x = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean, scale = x.mean(0), x.std(0) + 0.02
     p, u = ((y - mean) / scale for y in (positive.astype(np.float64), unlabelled.astype(np.float64)))
     p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
-    sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     if prior is None:
         a, b = p[::2], p[1::2] if len(p) > 1 else p
-        plain = _descend(lambda w: a.T @ (sigma(a @ w) - 1) / len(a) + u.T @ sigma(u @ w) / len(u) + decay * w, p.shape[1], steps, 0.02)
+        plain = _descend(lambda w: a.T @ (_sigmoid(a @ w) - 1) / len(a) + u.T @ _sigmoid(u @ w) / len(u) + decay * w, p.shape[1], steps, 0.02)
         prior = estimate_prior(b @ plain, u @ plain)
-
-    def gradient(w):
-        zp, zu = p @ w, u @ w
-        up = p.T @ (sigma(zp) - 1) / len(p)
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        down = u.T @ sigma(zu) / len(u) - prior * (p.T @ sigma(zp)) / len(p)
-        return prior * up + down + decay * w if rest >= 0 else -down + decay * w
-
-    w = _descend(gradient, p.shape[1], steps, 0.02)
+    w = _descend(lambda w: risk(w, p, u, prior)[1] + decay * w, p.shape[1], steps, 0.02)
     return Scorer(mean.astype(np.float32), scale.astype(np.float32), w[:-1].astype(np.float32), float(w[-1]), prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer:
-    """Fit on bounded samples, taken by a hash of doc_id, of the ``usable`` rows: trusted positives
-    (labels.quality = 1) and unlabelled rows of ``docs``. Features are made on the executors.
+    """Fit on bounded samples, taken by hashes of doc_id and text, of the ``usable`` rows: trusted positives (rows whose id
+    has labels.quality = 1) and unlabelled rows of ``docs``. Features are made on the executors.
 
-    Without any trusted positive the scorer gives 0.5 for every text.
+    An id that repeats brings its rows in hash order until the bound is met; a
+    row may be in both samples. Rows without an id take no part. Without any
+    trusted positive the scorer gives 0.5 for every text.
     """
-    draw = F.xxhash64(F.lit(3), F.col("doc_id"))
-    good = labels.where(usable & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").orderBy(draw, "doc_id").limit(positives).collect()
-    rest = docs.where(usable & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64(F.lit(4), F.col("doc_id")), "doc_id").limit(unlabelled).collect()
-    good, rest = {r[0] for r in good}, {r[0] for r in rest}
-    both = sorted(good | rest)
+    some = docs.where(usable & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    draw = lambda salt: F.xxhash64(F.lit(salt), F.col("doc_id"))
+    marked = labels.where(usable & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    good = {r[0] for r in marked.orderBy(draw(3), "doc_id").limit(positives).collect()}
+    rest = {r[0] for r in some.select("doc_id").orderBy(draw(4), "doc_id").limit(unlabelled).collect()}
 
     def make(batches):
         for batch in batches:
             x = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "place", "x"])
+
+    def sample(ids: set[int], salt: int, most: int) -> np.ndarray:
+        rows = some.where(F.col("doc_id").isin(sorted(ids))).withColumn("place", F.xxhash64("text")).mapInArrow(make, "doc_id long, place long, x binary")
+        rows = rows.orderBy(draw(salt), "doc_id", "place").limit(most).collect() if ids else []
+        return np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, WIDTH)
 
-    rows = docs.where(F.col("doc_id").isin(both)).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, x binary").limit(4 * len(both) + 1).collect() if both else []
-    rows = sorted((r["doc_id"], bytes(r["x"])) for r in rows)
-    pick = lambda ids: np.array([np.frombuffer(x, np.float32) for i, x in rows if i in ids]).reshape(-1, WIDTH)
-    p, u = pick(good), pick(rest)
+    p, u = sample(good, 3, positives), sample(rest, 4, unlabelled)
     if not len(p) or not len(u):
         return Scorer(np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), np.zeros(WIDTH, np.float32), 0.0, 0.5)
     return fit(p, u)
@@ -146,7 +154,9 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     """Rows (id_col, score double in 0..1), one for each row of ``docs``, from the whole text alone.
 
     Null and empty texts have the features of an empty text. Ids may be null
-    or repeat; other columns are not read. No shuffle; the scorer has a fixed size.
+    or repeat, and equal texts have equal scores; an empty table gives no rows;
+    other columns are not read, whatever their names. No shuffle; the scorer
+    has a fixed size.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
