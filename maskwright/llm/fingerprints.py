@@ -64,7 +64,11 @@ def containment(a: Sketch, b: Sketch) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scale: int = SCALE) -> DataFrame:
-    """Rows (id_col, fingerprint string), one for each row of ``docs``; null text is empty. No shuffle."""
+    """Rows (id_col, fingerprint string), one for each row of ``docs``; null text is empty.
+
+    Ids may be null or repeat; an empty table gives no rows; other columns are
+    not read, whatever their names. No shuffle.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -83,7 +87,8 @@ def edited_text(text: str, following: str) -> str:
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_BATCH = 256
+#: Rows, and code points of their texts, that are compared at a time.
+_BATCH, _CHARS = 256, 1 << 21
 
 
 def compare_with_following(docs: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -136,7 +141,8 @@ def compare_with_following(docs: DataFrame, scale: int = SCALE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(to, pa.int32()), pa.array(guest, pa.int32())], names=["doc_id", "text", "run", "guest"])
 
     def compare(batches):
-        queue: list[tuple] = []  # rows of one run whose successor is not known yet
+        queue: list[tuple] = []  # rows and their successors
+        size = 0
 
         def flush(pairs):
             texts = [p[1] for p in pairs]
@@ -168,13 +174,15 @@ def compare_with_following(docs: DataFrame, scale: int = SCALE) -> DataFrame:
                     run, held, done = r, None, False
                 if held is not None and not done:
                     queue.append((held[0], held[1], (doc_id, text)))
+                    size += len(held[1]) + len(text)
                 if guest:
                     done = True  # the run's rows end here; a guest's repeats have the same doc_id
                 else:
                     held = (doc_id, text)
-                if len(queue) >= _BATCH:
+                if len(queue) >= _BATCH or size >= _CHARS:
                     yield flush(queue)
                     queue.clear()
+                    size = 0
         if queue:
             yield flush(queue)
 

@@ -11,18 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .scratch import materialize, shuffle_partitions
+from .scratch import materialize, with_running_totals
 from .token_counts import SPLIT, byte_pairs
 
 LENGTH = 1024
 DIMENSIONS, BITS = 4, 12
 _CLASSES = 4096
+#: Tokens of a range of the curve, about; bits of a key below a bucket's.
+RANGE, SHIFT = 2_000_000, DIMENSIONS * BITS - 17
 
 
 @lru_cache(2)
 def _encoder(vocabulary: str):
     """A function from a text to the library's ids for the vocabulary file (special strings as one id)."""
     pairs = byte_pairs(vocabulary)
+    if not pairs.ordered:
+        raise ValueError("the file's identifiers do not follow its merges, so its ids cannot be made from ranks")
     plain = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=pairs.ranks, special_tokens={}).encode_to_numpy
 
     def encode(text: str) -> np.ndarray:
@@ -88,21 +92,42 @@ def curve_keys(vectors: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((grid * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)).astype(np.int64)
 
 
+def curve_ranges(coded: DataFrame, range_tokens: int = RANGE) -> tuple[DataFrame, int]:
+    """Rows (bucket, range, ranges) and the number of ranges: where on the curve a range of about ``range_tokens`` begins.
+
+    Token totals of 2**17 equal stretches of the curve (buckets, so many rows
+    at most) are summed up along it. A bucket belongs to the range in which it
+    begins; one with more tokens than a range is spread over as many ranges as
+    it fills, by a hash of its documents. Tables of more than 50,000 ranges
+    get longer ones.
+    """
+    tokens = F.octet_length("raw") / F.when(F.col("small"), 2).otherwise(4)
+    sums = materialize(coded.groupBy(F.shiftright("curve", SHIFT).alias("bucket")).agg(F.sum(tokens.cast("long")).alias("n")), "buckets")
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    size = max(range_tokens, -(-total // 50_000))
+    before = with_running_totals(sums, ["bucket"], {"before": "n"}, "rank")
+    ranges = before.select("bucket", F.expr(f"before div {size}").alias("range"), F.ceil(F.col("n") / size).cast("int").alias("ranges"))
+    return ranges, max(1, -(-total // size))
+
+
 _PIECE = "start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", range_tokens: int = RANGE) -> DataFrame:
     """Pack whole texts into sequences of at most ``length`` tokens.
 
     A document is its ids by ``vocabulary`` and then ``end_id``. Documents are
-    range-sorted by the Hilbert key of their projected vectors (then id, which
-    cuts hot keys), and each range is cut into full sequences; only its last
-    one may be short, so padding is below ``length`` tokens a range.
+    range-sorted by the Hilbert key of their projected vectors (then id), and
+    each range is cut into full sequences; only its last one may be short, so
+    padding is below ``length`` tokens a range. Ranges follow from exact token
+    totals along the curve (see ``curve_ranges``), so a rerun gives the same
+    sequences.
 
     Rows, one for each piece: id_col, start, length, doc_tokens, sequence_id,
     offset long, ids binary (little-endian unsigned 32-bit). A null text is
     empty: its piece is ``end_id`` alone. Ids may be null or repeat: repeated
-    rows are packed each. An empty table gives no rows; other columns are not read.
+    rows are packed each. Ties on the curve go by id and ids' bytes. An empty
+    table gives no rows; other columns are not read, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     ids_kind = to_arrow_type(docs.schema[id_col].dataType)
@@ -119,22 +144,24 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array(raw, pa.binary()), pa.array([small] * len(ids))], names=["id", "curve", "raw", "small"])
 
     coded = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(encode, f"id {kind}, curve long, raw binary, small boolean"), "coded")
-    spark = docs.sparkSession
-    sorted_ = coded.repartitionByRange(shuffle_partitions(spark), "curve", "id").sortWithinPartitions("curve", "id")
+    ranges, count = curve_ranges(coded, range_tokens)
+    placed = coded.withColumn("bucket", F.shiftright("curve", SHIFT)).join(F.broadcast(ranges), "bucket")
+    part = F.col("range") + F.pmod(F.xxhash64("id", "raw"), F.col("ranges"))
+    sorted_ = placed.select("id", "curve", "raw", "small", part.alias("range")).repartition(count, "range").sortWithinPartitions("range", "curve", "id", "raw")
 
     def lay(batches):
-        from pyspark import TaskContext
-
-        base, at = TaskContext.get().partitionId() << 33, 0  # tokens of this range so far
+        now, at = None, 0  # the range, and its tokens so far
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             held = 0
-            for doc, raw, small in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for doc, raw, small, range_ in zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 3)), strict=True):
+                if range_ != now:
+                    now, at = range_, 0
                 ids = np.frombuffer(raw, "<u2" if small else "<u4").astype("<u4")
                 n, start = len(ids), 0
                 while start < n:
                     take = min(n - start, length - at % length)
-                    for column, v in zip(out, (doc, start, take, n, base + at // length, at % length, ids[start : start + take].tobytes()), strict=True):
+                    for column, v in zip(out, (doc, start, take, n, (now << 33) + at // length, at % length, ids[start : start + take].tobytes()), strict=True):
                         column.append(v)
                     start += take
                     at += take
@@ -145,7 +172,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = LENGTH
             if out[0]:
                 yield _batch(out, ids_kind)
 
-    return sorted_.select("id", "curve", "raw", "small").mapInArrow(lay, f"id {kind}, {_PIECE}").withColumnRenamed("id", id_col)
+    return sorted_.select("id", "raw", "small", "range").mapInArrow(lay, f"id {kind}, {_PIECE}").withColumnRenamed("id", id_col)
 
 
 def _batch(columns: list[list], kind: pa.DataType) -> pa.RecordBatch:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize, with_running_totals
+from .scratch import discard, materialize, with_running_totals
 
 SHARDS = 16
-ROUNDS = 24
 _PARTS = 64
 
 
@@ -22,24 +21,24 @@ def _largest() -> Column:
     return F.struct(F.col("n"), F.xxhash64("hub", "shard").alias("tie"), F.col("shard"))
 
 
-def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """Move cells (hub, shard, n: n linked documents of a hub in a shard) until each hub has one: rows (hub, shard, n).
+def propagate(cells: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """Move cells (hub, shard, n: what a hub's linked documents measure in a shard) until each hub has one: rows (hub, shard, n).
 
     Each round, a hub's cells aim at the shard that holds most of it (ties: by
     a hash). A shard's room is what it lacks and what wants to leave it. It
     takes whole cells by votes, largest first, until its room is used up (the
     last may go beyond it); where it ends is found from sums over classes of
     votes and of a hash, and cell by cell only in the class in which it ends,
-    so no shard's movers are gathered in one place. Hubs that are still divided
-    when nothing moves, or after ``rounds``, join their largest cell without
-    regard to room.
+    so no shard's movers are gathered in one place. Rounds go on until nothing
+    moves; each move joins a cell to a larger one, so they end. Hubs that are
+    divided even then join their largest cell without regard to room.
     """
     cells = materialize(cells.withColumn("moved", F.lit(1).cast("long")), "cells")
-    for _ in range(rounds):
+    while True:
         aims = cells.join(cells.groupBy("hub").agg(F.max(_largest()).alias("best")), "hub").withColumn("aim", F.col("best.shard"))
         rank = F.floor(F.log2("best.n")).cast("int")
         part = (63 - rank) * _PARTS + F.pmod(F.xxhash64("hub", "shard"), F.lit(_PARTS)).cast("int")
-        aims = materialize(aims.select("hub", "shard", "n", "moved", "aim", F.when(F.col("aim") != F.col("shard"), part).alias("class")), "aims")
+        aims = moving = materialize(aims.select("hub", "shard", "n", "moved", "aim", F.when(F.col("aim") != F.col("shard"), part).alias("class")), "aims")
         state = aims.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved"), F.sum(F.when(F.col("class").isNotNull(), F.col("n"))).alias("leave")).collect()  # one row a shard
         if not any(r["moved"] for r in state) or not any(r["leave"] for r in state):
             break
@@ -56,7 +55,8 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS
         last = aims.where(ends).withColumn("go", F.coalesce(F.sum("n").over(upto), F.lit(0)) < F.col("left"))
         after = aims.where(~ends).withColumn("go", F.coalesce(F.col("left") >= F.col("all"), F.lit(False))).unionByName(last)
         after = after.select("hub", F.when(F.col("go"), F.col("aim")).otherwise(F.col("shard")).alias("shard"), "n", F.when(F.col("go"), F.col("n")).otherwise(F.lit(0)).alias("moved"))
-        cells = materialize(after.groupBy("hub", "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")), "cells")
+        last, cells = cells, materialize(after.groupBy("hub", "shard").agg(F.sum("n").alias("n"), F.sum("moved").alias("moved")), "cells")
+        discard(last, moving)
     return cells.groupBy("hub").agg(F.max(_largest())["shard"].alias("shard"), F.sum("n").alias("n"))
 
 
@@ -66,7 +66,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", id
     Documents that share ``link_col`` (default: that have equal texts) are
     linked. They start in shards by a hash of their ids and move by
     ``propagate``, each group to one shard; documents without links then fill
-    what room is left. The order (shard, links, id) is cut where the law asks,
+    what room is left. Room and votes are counted in rows or bytes, as the law
+    asks. The order (shard, links, id) is cut where the law asks,
     whatever the shards hold: ``rows``: shard counts at most one apart;
     ``bytes``: sizes at most one document apart. A link group is cut only at
     one of the shards - 1 cuts.
@@ -87,10 +88,11 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, law: str = "rows", id
         "sizes",
     )
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
-    n, capacity = total["n"], total["n"] // shards
+    n, capacity = total["n"], total["n" if law == "rows" else "size"] // shards
+    measure = F.count("*") if law == "rows" else F.sum("size")
     start = F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(shards)).cast("int")
     hubs = rows.groupBy("hub").agg(F.count("*").alias("c")).where("c > 1").select("hub")
-    cells = rows.groupBy("hub", start.alias("shard")).agg(F.count("*").alias("n")).join(hubs, "hub", "left_semi")
+    cells = rows.groupBy("hub", start.alias("shard")).agg(measure.alias("n")).join(hubs, "hub", "left_semi")
     cells = materialize(propagate(cells, shards, capacity), "cells")
     held = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     free = [max(0, capacity - held.get(s, 0)) for s in range(shards)]

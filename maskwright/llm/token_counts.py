@@ -6,6 +6,7 @@ import heapq
 import json
 import re
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,25 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def _check(spec: dict) -> None:
+    """Refuse a file that says more than the counting below does: another model, a normaliser, another split, or options
+    that change merges."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    sound = (
+        model.get("type") == "BPE" and spec.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    )
+    if not sound:
+        raise ValueError("the file is no plain byte-level vocabulary")
+
+
 class BytePairs:
     """A byte-level vocabulary file: its merges, and the strings it treats as one token."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         self.symbol = [vocab[letters[b]] for b in range(256)]
@@ -51,6 +65,8 @@ class BytePairs:
         self.added = {x["content"]: x["id"] for x in added}
         own = {v: k for k, v in letters.items()}
         self.ranks = {bytes(own[c] for c in t): i for t, i in vocab.items() if t not in self.added}
+        #: Whether a later merge always makes a higher identifier: then identifiers rank merges as the file does.
+        self.ordered = all(a < b for a, b in pairwise(r & ((1 << _ID) - 1) for _, r in sorted(self.rank.items(), key=lambda x: x[1] >> _ID)))
         self.split = regex.compile(SPLIT)
         self.table = _Counted(self)
 
@@ -125,8 +141,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     adjacent pairs gives; no identifiers are made. ``vocabulary`` is the path
     of a byte-level vocabulary file on every machine. A null text is empty and
     counts 0; ids may be null or repeat; texts are counted whole; strings of
-    the vocabulary's special tokens count as one token; other columns are not
-    read. No shuffle.
+    the vocabulary's special tokens count as one token; an empty table gives no
+    rows; other columns are not read, whatever their names. No shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, over the small driver tables and hostile rows."""
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -307,3 +308,65 @@ def test_mix_applied_has_the_words_taken(docs, empty):
         out[r["doc_id"]].append(len(words(r["text"])))
     assert {i: sum(v) for i, v in out.items()} == {i: r["taken"] for i, r in plan.items() if r["taken"]}
     assert mixing.apply_mix(empty).count() == 0 and mixing.mix_plan(empty).count() == 0
+
+
+def test_sources_get_blocks_by_highest_quotients(spark):
+    rng = np.random.default_rng(5)
+    for votes, seats in [([1000.0] * 7, 10), (rng.integers(1, 10**6, 300).astype(float).tolist(), 997), ([5e6] + [40.0] * 500, 20_000), ([3.0, 1.0, 1.0, 0.0], 4), ([2.0, 2.0, 1.0], 0), ([0.0], 5), ([7.0], 12)]:
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(votes)], "place long, v double")
+        got = mixing.highest_quotients(table, "v", "place", seats).orderBy("place").collect()
+        assert [r["seats"] for r in got] == mixing.sainte_lague(seats, votes), (len(votes), seats)
+
+
+def test_a_small_source_leaves_the_others_their_blocks(spark):
+    rows = [(i, "w " * 700, "big") for i in range(400)] + [(1000, "one two three", "small"), (1001, "x", None)]
+    narrow = spark.createDataFrame(rows, "__draw_id long, text string, source string")
+    narrow = narrow.select(*mixing._keys(F.col("__draw_id"), F.col("text"), F.col("source"), 17))
+    plan = {r["__source"]: r for r in mixing.source_plan(narrow, (1, 2, 3), 3).collect()}
+    assert plan["abig"]["__unit"] == mixing.BLOCK and plan["asmall"]["__unit"] == 1
+    assert plan["asmall"]["__due"] == 9 and plan["b"]["__due"] == 3 and plan["abig"]["__due"] == round(plan["abig"]["__target"])
+
+
+def test_a_source_of_blank_rows_is_dealt_to_many_shards(spark):
+    blank = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("blank").alias("source"))
+    some = spark.createDataFrame([(-1, "a b c", "some"), (-2, "d e", "blank")], blank.schema)
+    rows = blank.union(some)
+    narrow = rows.select(*mixing._keys(F.col("doc_id"), F.col("text"), F.col("source"), 17))
+    assert {r["__source"]: r["__shards"] for r in mixing.source_plan(narrow, (1, 2, 3), 3).collect()} == {"ablank": 3, "asome": 1}
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(rows).where("doc_id < 0").collect()}
+    assert got[-2] == round(5 / 3) and got[-1] == round(10 / 3)
+
+
+def test_packing_ranges_follow_token_totals(spark, docs):
+    """Several ranges in a task, a hot key over several ranges, and the same sequences in a rerun."""
+    rows = docs.select("doc_id", "text").union(spark.range(300).select(F.col("id") + 5_000_000, F.lit("same words in each of these " * 20)))
+    a = packing.pack(rows, queries.vocabulary(), range_tokens=20_000).collect()
+    b = packing.pack(rows.orderBy(F.rand(2)), queries.vocabulary(), range_tokens=20_000).collect()
+    key = lambda r: (r["sequence_id"], r["offset"], r["doc_id"], r["start"], r["length"], bytes(r["ids"]))
+    assert sorted(map(key, a)) == sorted(map(key, b))
+    tokens, starts = Counter(), Counter()
+    for r in a:
+        tokens[r["sequence_id"] >> 33] += r["length"]
+        starts[r["sequence_id"], r["offset"]] += 1
+    total = sum(tokens.values())
+    want = sum(len(x) + 1 for x in library([r["text"] or "" for r in rows.collect()]))
+    assert total == want and set(starts.values()) == {1} and len(tokens) >= total / 80_000
+    assert len({r["sequence_id"] >> 33 for r in a if r["doc_id"] >= 5_000_000}) > 1
+
+
+def test_vocabularies_that_say_more_are_refused(tmp_path):
+    with open(queries.vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {**spec["model"], "ignore_merges": True}}):
+        (tmp_path / "v.json").write_text(json.dumps({**spec, **change}))
+        with pytest.raises(ValueError):
+            token_counts.BytePairs(str(tmp_path / "v.json"))
+    assert token_counts.byte_pairs(queries.vocabulary()).ordered
+
+
+def test_fingerprints_of_very_long_texts(spark):
+    rows = [(i, f"word{i} " * 400_000) for i in range(6)] + [(10 + i, "a b c d e f") for i in range(4)]
+    got = sorted(map(tuple, fingerprints.compare_with_following(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    for k, (i, text) in enumerate(rows):
+        edited = fingerprints.edited_text(text, rows[(k + 1) % len(rows)][1])
+        assert got[k][:3] == (i, len(text), hashlib.sha256(edited.encode()).hexdigest())
