@@ -22,7 +22,7 @@ UNKNOWN = "und"
 _FACTOR = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SALT = np.array([0x1000003 * (k + 2) for k in range(ORDER)], np.uint64)
 #: Code points worked on at a time, about.
-_RUN = 1 << 17
+_RUN = 1 << 14
 
 
 @lru_cache(1)
