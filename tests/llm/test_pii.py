@@ -2,7 +2,10 @@
 
 import hashlib
 import re
+import time
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +89,97 @@ def test_redaction_leaves_nothing(spark, hostile):
 def test_no_python_on_executors(spark):
     plan = pii.redact(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+#: Sentences written by hand, not from the operator's templates, and the personal data in each.
+WRITTEN = [
+    ("You can reach Ms. Alvarez at (415) 555-0132 after lunch.", [("phone", "(415) 555-0132")]),
+    ("Rückfragen bitte unter 030 901820 an das Sekretariat, Telefon 030 9018201.", [("phone", "030 9018201")]),
+    ("Mon portable : 06 45 12 78 90, merci de rappeler.", [("phone", "06 45 12 78 90")]),
+    ("Llame al 612 345 678 para pedir cita.", [("phone", "612 345 678")]),
+    ("fax 212-555-0187, phone 212-555-0188", [("phone", "212-555-0187"), ("phone", "212-555-0188")]),
+    ("743-555-3824 1 743-555-3824", [("phone", "743-555-3824"), ("phone", "743-555-3824")]),
+    ("tel 12 34 56 78 90 4111 1111 1111 1111", [("phone", "12 34 56 78 90"), ("card", "4111 1111 1111 1111")]),
+    ("Her SSN is 219-09-9999 and she lives nearby.", [("ssn", "219-09-9999")]),
+    ("Bitte überweisen Sie auf Konto DE89 3704 0044 0532 0130 00.", [("iban", "DE89 3704 0044 0532 0130 00")]),
+    ("IBAN: FR1420041010050500013M02606", [("iban", "FR1420041010050500013M02606")]),
+    ("Write to jane.doe [at] example [dot] org for access.", [("email", "jane.doe [at] example [dot] org")]),
+    ("Contact: m.roux(at)univ-lyon.fr", [("email", "m.roux(at)univ-lyon.fr")]),
+    ("I paid with my visa card 4539 1488 0343 6468 last week", [("card", "4539 1488 0343 6468")]),
+    ("credit card 4000 1234 5678 9010 was declined", [("card", "4000 1234 5678 9010")]),
+    ("Call +44 20 7946 0958 or mail help@example.com", [("phone", "+44 20 7946 0958"), ("email", "help@example.com")]),
+    ("The server 192.168.10.14 answered.", [("ip", "192.168.10.14")]),
+    ("Mobile: 0171 2345678", [("phone", "0171 2345678")]),
+    ("tél. 01.42.68.53.00", [("phone", "01.42.68.53.00")]),
+    ("dial 555.123.4567 now", [("phone", "555.123.4567")]),
+    ("teléfono 91 123 45 67", [("phone", "91 123 45 67")]),
+    ("Order 4000 1234 5678 9010 shipped on 2021-04-12.", []),
+    ("The meeting is on 12.11.2023 in room 204.", []),
+    ("In 2019 2020 2021 the numbers grew by 12 500 000 units.", []),
+    ("Total: 1 234 567 890 euros over 10 years.", []),
+    ("ISBN 9783161484100 is out of print.", []),
+    ("Part 219-09-9999 does not fit model 300.", []),
+    ("version 10.2.300.4 of the driver", []),
+    ("The scores were 12 34 56 78 90 over five rounds.", []),
+    ("Invoice 415-555-0132 is overdue.", []),
+    ("See pages 112-118 and 220-224.", []),
+    ("He scored +12 points and -3.5 in 1998.", []),
+    ("Tracking 1234 5678 9012 3456 was lost.", []),
+    ("sku 123-45-6789, batch 77", []),
+    ("Commande 06 45 12 78 90 livrée.", []),
+    ("The temperature was 21.5 to 23.8 degrees at 10:30.", []),
+    ("Population: 612 345 678 in total.", []),
+    ("facture 2023-11-04 de 450 EUR", []),
+    ("AB12 CODE WORD LIST was the serial", []),
+]
+
+
+def test_precision_and_recall_on_hand_written_sentences(spark):
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRITTEN)], "doc_id int, text string")
+    right = wrong = missed = 0
+    notes = []
+    for r in pii.find_personal_data(rows).orderBy("doc_id").collect():
+        text, want = WRITTEN[r["doc_id"]]
+        got = Counter((s["kind"], text[s["start"] : s["end"]]) for s in r["spans"])
+        both = got & Counter(want)
+        right, wrong, missed = right + both.total(), wrong + (got - both).total(), missed + (Counter(want) - both).total()
+        if got != Counter(want):
+            notes.append((text, dict(got)))
+    print(f"precision {right / (right + wrong):.3f}, recall {right / (right + missed):.3f}", notes)
+    assert right / (right + wrong) >= 0.9 and right / (right + missed) >= 0.85, notes
+
+
+def test_overlaps_go_to_the_likelier(spark):
+    span = "array<struct<start:int,end:int,kind:string,gen:int,p:double>>"
+    cases = [
+        ([(0, 10, "a", 1, 0.5), (8, 20, "b", 1, 0.9), (18, 30, "c", 1, 0.95)], [(0, 10), (18, 30)]),
+        ([(0, 30, "a", 1, 0.6), (2, 9, "b", 1, 0.9), (10, 20, "c", 1, 0.7), (20, 22, "d", 1, 0.8)], [(2, 9), (10, 20), (20, 22)]),
+        ([(0, 5, "a", 1, 2.0), (3, 8, "b", 1, 2.0), (4, 9, "c", 1, 0.99), (9, 12, "d", 1, 0.6)], [(0, 5), (3, 8), (9, 12)]),
+        ([(0, 5, "a", 1, 0.7), (0, 9, "b", 1, 0.7), (20, 30, "c", 1, 0.6)], [(0, 9), (20, 30)]),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], f"i int, s {span}")
+    got = {r["i"]: sorted((x["start"], x["end"]) for x in r["b"]) for r in df.select("i", pii._best_apart(F.col("s")).alias("b")).collect()}
+    assert got == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_trees_as_columns_equal_the_trees(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, (300, 5)).astype(float)
+    y = ((x[:, 0] > 2) & (x[:, 1] < 3) | (x[:, 4] == 5)).astype(int)
+    model = pii.boost(x, y, rounds=12)
+    p = 1 / (1 + np.exp(-model.margins(x)))
+    assert ((p > 0.5) == y).mean() > 0.97
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, f array<double>")
+    got = [r["p"] for r in rows.select("i", model.column(F.col("f")).alias("p")).orderBy("i").collect()]
+    assert got == pytest.approx(p.tolist(), abs=1e-12)
+
+
+def test_redaction_is_linear_in_the_spans(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"a{i}@b.fr call (743) 555-3824" for i in range(n)))], "doc_id int, text string")
+        began = time.time()
+        assert pii.redact(df).selectExpr("length(replace(replace(text, '[EMAIL]', ''), '[PHONE]', ''))").first()[0] == 7 * n - 1
+        return time.time() - began
+
+    seconds(300)
+    assert seconds(16_000) <= 4.5 * max(seconds(4_000), 1.0)
