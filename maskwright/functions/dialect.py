@@ -15,13 +15,3 @@ WORD = "[A-Za-z0-9_]"
 LEAD, TRAIL = f"(?<!{WORD})", f"(?!{WORD})"
 #: A boundary between any characters.
 BOUNDARY = f"(?:{LEAD}(?={WORD})|(?<={WORD}){TRAIL})"
-
-
-def to_re2(pattern: str) -> str:
-    """The same rule for RE2, which has an ASCII ``\\b`` and no look-around."""
-    import re
-
-    for piece in (BOUNDARY, LEAD, TRAIL):
-        pattern = pattern.replace(piece, r"\b")
-    pattern = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", pattern)
-    return pattern.replace("(?iu:", "(?i:")

@@ -109,10 +109,11 @@ def detection_id(doc: str = "doc_id") -> Column:
 
 def detections(matches: DataFrame, items: DataFrame, measured: bool = False) -> DataFrame:
     """One detection for each cluster of each match; matches without an item vanish; a page with any item read from an image has source ``ocr``."""
-    found = union_boxes(cluster_boxes(sub_boxes(overlaps(matches, items), measured)))
-    read = items.groupBy("doc_id", "page").agg(F.bool_or(F.col("source") == "ocr").alias("any_ocr"))
-    both = found.join(read, ["doc_id", "page"])
-    return both.select("doc_id", "page", "ord", "cluster", "type", "text", "start_pos", "end_pos", "confidence", F.when(F.col("any_ocr"), "ocr").otherwise(F.col("source")).alias("source"), "box", detection_id().alias("id"))
+    page = Window.partitionBy("doc_id", "page")
+    told = items.withColumn("source", F.when(F.bool_or(F.col("source") == "ocr").over(page), "ocr").otherwise(F.col("source")))
+    parts = cluster_boxes(sub_boxes(overlaps(matches, told), measured))
+    found = union_boxes(parts.withColumn("source", F.when(F.col("item_source") == "ocr", "ocr").otherwise(F.col("source"))))
+    return found.select("doc_id", "page", "ord", "cluster", "type", "text", "start_pos", "end_pos", "confidence", "source", "box", detection_id().alias("id"))
 
 
 def page_dims(width: Column, height: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import WS
 from .patterns import BLOCK, PATTERNS
-from .spans import find_literal
+from .spans import HITS, find_literal
 
 CONFIDENCE = 0.65
 PROMPT_CHARS = 6000
@@ -57,10 +57,20 @@ def clean_edges(text: Column, start: Column, end: Column) -> Column:
 
 
 def model_matches(pages: DataFrame, replies: DataFrame) -> DataFrame:
-    """Matches of the model's items on their pages: every literal occurrence with clean edges; what does not occur drops out."""
-    items = reply_items(replies)
+    """Matches of the model's items on their pages: every literal occurrence with clean edges; what does not occur drops out.
+
+    A page's items are gathered first, so that its text is sent once, and
+    searched in one row.
+    """
+    items = reply_items(replies).groupBy("doc_id", "page").agg(F.collect_list(F.struct("seq", "type", "candidate")).alias("items"))
     both = items.join(pages.select("doc_id", "page", F.col("text").alias("page_text")), ["doc_id", "page"])
-    hits = both.select("doc_id", "page", "seq", "type", "candidate", "page_text", F.inline(find_literal(F.col("page_text"), F.col("candidate"))))
-    hits = hits.where(clean_edges(F.col("page_text"), F.col("start"), F.col("end")))
-    order = F.lit(len(PATTERNS) * BLOCK) + F.col("seq").cast("long") * 1_000_000 + F.col("occ")
-    return hits.select("doc_id", "page", order.cast("long").alias("ord"), "type", F.col("candidate").alias("text"), F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.lit(CONFIDENCE).cast("double").alias("confidence"), F.lit("nlp").alias("source"))
+    text = F.col("page_text")
+
+    def hits(item: Column) -> Column:
+        clean = F.filter(F.coalesce(find_literal(text, item["candidate"]), F.array().cast(HITS)), lambda m: clean_edges(text, m["start"], m["end"]))
+        return F.transform(clean, lambda m: F.struct(
+            (F.lit(len(PATTERNS) * BLOCK) + item["seq"].cast("long") * 1_000_000 + m["occ"]).cast("long").alias("ord"), item["type"].alias("type"), item["candidate"].alias("text"),
+            m["start"].alias("start_pos"), m["end"].alias("end_pos")))
+
+    found = both.select("doc_id", "page", F.inline(F.flatten(F.transform("items", hits))))
+    return found.select("*", F.lit(CONFIDENCE).cast("double").alias("confidence"), F.lit("nlp").alias("source"))

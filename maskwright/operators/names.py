@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import SPACES
 from .patterns import BLOCK, NAME_SEQUENCE, PATTERNS
-from .spans import find_all, find_literal, let, merge_spans, with_parts
+from .spans import HITS, find_all, find_literal, let, merge_spans, with_parts
 
 SEQUENCE_CONFIDENCE, PERSON_CONFIDENCE = 0.55, 0.65
 # Fixed values, lower case: words that no name holds, and places that are no names.
@@ -27,19 +27,28 @@ PLACES = (
 GIVEN_NAMES = ("Camille", "Jean", "Marie", "Paul", "Julien", "Claire", "Sophie", "Pierre", "Louis", "Anne")
 
 
-def is_name(candidate: Column) -> Column:
-    """Whether a capitalised sequence may be a name: no stop word, three words at most, not all capitals, no known place at its end."""
-    words = F.split(F.lower(candidate), rf"[{SPACES}\-]+")
+def is_place(candidate: Column, places: Column | None = None) -> Column:
+    """Whether a candidate is or ends in a known place, whatever the case, or is or ends in a word of a page's own ``places``
+    (an array, as a provider reports them; the case counts)."""
     low = F.lower(candidate)
-    place = low.isin(*PLACES)
+    known = low.isin(*PLACES)
     for p in PLACES:
-        place = place | low.endswith(p)
-    return ~F.exists(words, lambda w: w.isin(*STOP_WORDS)) & (F.size(words) <= 3) & candidate.rlike("[a-zà-ÿ]") & ~place
+        known = known | low.endswith(p)
+    if places is None:
+        return known
+    ends = lambda p: (p != "") & ((candidate == p) | candidate.endswith(F.concat(F.lit(" "), p)))
+    return known | F.coalesce(F.exists(places, ends), F.lit(False))
+
+
+def is_name(candidate: Column, places: Column | None = None) -> Column:
+    """Whether a capitalised sequence may be a name: no stop word, three words at most, not all capitals, no place at its end."""
+    words = F.split(F.lower(candidate), rf"[{SPACES}\-]+")
+    return ~F.exists(words, lambda w: w.isin(*STOP_WORDS)) & (F.size(words) <= 3) & candidate.rlike("[a-zà-ÿ]") & ~is_place(candidate, places)
 
 
-def name_candidates(text: Column) -> Column:
+def name_candidates(text: Column, places: Column | None = None) -> Column:
     """Capitalised sequences that may be names: array of (occ, x, start, end, before, after). A rejected sequence is not searched again."""
-    return F.when(text.rlike("[A-ZÀ-Ý]"), F.filter(find_all(text, NAME_SEQUENCE), lambda m: is_name(m["x"])))
+    return F.when(text.rlike("[A-ZÀ-Ý]"), F.filter(find_all(text, NAME_SEQUENCE), lambda m: is_name(m["x"], places)))
 
 
 def lexicon_people(text: Column, given: Sequence[str] = GIVEN_NAMES) -> Column:
@@ -48,21 +57,34 @@ def lexicon_people(text: Column, given: Sequence[str] = GIVEN_NAMES) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rule), F.lit(0)))
 
 
-def person_spans(pages: DataFrame, people: DataFrame) -> DataFrame:
+def with_places(pages: DataFrame, places: DataFrame | None) -> DataFrame:
+    """``pages`` with ``places``: the array of the texts (doc_id, page, place) that a provider reports as places of a page."""
+    if places is None:
+        return pages.withColumn("places", F.array().cast("array<string>"))
+    listed = places.where("place is not null").groupBy("doc_id", "page").agg(F.collect_set("place").alias("places"))  # of one page's text
+    return pages.join(listed, ["doc_id", "page"], "left").withColumn("places", F.coalesce("places", F.array().cast("array<string>")))
+
+
+def person_spans(pages: DataFrame, people: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Rows (doc_id, page, ord, text, start_pos, end_pos, confidence): every occurrence of each person's text on its page.
 
-    ``people``: doc_id, page, seq, person. Those of fewer than two characters
-    and known places are left out. Case counts, word boundaries do not.
+    ``people``: doc_id, page, seq, person. Those of fewer than two characters,
+    known places and the page's own ``places`` are left out. Case counts, word
+    boundaries do not. A page's people are gathered first, so that its text is
+    sent once.
     """
-    good = people.where((F.length(F.trim("person")) >= 2) & ~F.lower("person").isin(*PLACES) & ~F.lower("person").rlike("(?:" + "|".join(PLACES) + r")\z"))
-    both = good.join(pages.select("doc_id", "page", F.col("text").alias("page_text")), ["doc_id", "page"])
-    hits = both.select("doc_id", "page", "seq", "person", F.inline(find_literal(F.col("page_text"), F.col("person"))))
-    return hits.select("doc_id", "page", (F.col("seq").cast("long") * 1_000_000 + F.col("occ")).alias("ord"), F.col("person").alias("text"), F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.lit(PERSON_CONFIDENCE).cast("double").alias("confidence"))
+    listed = people.where(F.length(F.trim("person")) >= 2).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("seq", "person"))).alias("people"))
+    both = with_places(listed, places).join(pages.select("doc_id", "page", F.col("text").alias("page_text")), ["doc_id", "page"])
+    found = F.transform(F.filter("people", lambda p: ~is_place(p["person"], F.col("places"))), lambda p: F.transform(
+        F.coalesce(find_literal(F.col("page_text"), p["person"]), F.array().cast(HITS)),
+        lambda m: F.struct((p["seq"].cast("long") * 1_000_000 + m["occ"]).alias("ord"), p["person"].alias("text"), m["start"].alias("start_pos"), m["end"].alias("end_pos"))))
+    return both.select("doc_id", "page", F.inline(F.flatten(found)), F.lit(PERSON_CONFIDENCE).cast("double").alias("confidence"))
 
 
-def regex_names(pages: DataFrame) -> DataFrame:
+def regex_names(pages: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """The same columns for capitalised sequences."""
-    hits = pages.select("doc_id", "page", F.inline(name_candidates(F.col("text"))))
+    listed = pages if places is None else with_places(pages, places)
+    hits = listed.select("doc_id", "page", F.inline(name_candidates(F.col("text"), None if places is None else F.col("places"))))
     return hits.select("doc_id", "page", F.col("occ").cast("long").alias("ord"), F.col("x").alias("text"), F.col("start").alias("start_pos"), F.col("end").alias("end_pos"), F.lit(SEQUENCE_CONFIDENCE).cast("double").alias("confidence"))
 
 
@@ -83,24 +105,27 @@ def merge_names(spans: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     return merged.join(texts, ["doc_id", "page"]).select(*merged.columns, F.substring("page_text", F.col("start_pos") + 1, F.col("end_pos") - F.col("start_pos")).alias("text"))
 
 
-def name_matches(text: Column) -> Column:
+def name_matches(text: Column, places: Column | None = None) -> Column:
     """Merged capitalised sequences of a text, row-local: array of MATCH of type ``name``, after those of the rules."""
 
-
     def named(merged: Column, part) -> Column:
         return F.transform(merged, lambda m, i: F.struct(
             (i.cast("long") + len(PATTERNS) * BLOCK).alias("ord"), F.lit("name").alias("type"), part(m["start"], m["end"] - m["start"]).alias("text"),
             m["start"].alias("start_pos"), m["end"].alias("end_pos"), F.lit(SEQUENCE_CONFIDENCE).cast("double").alias("confidence"), F.lit("nlp").alias("source")))
 
-    return let(name_candidates(text), lambda found: F.when(F.size(found) > 0, with_parts(text, lambda part: let(merge_spans(found), lambda merged: named(merged, part)))))
+    return let(name_candidates(text, places), lambda found: F.when(F.size(found) > 0, with_parts(text, lambda part: let(merge_spans(found), lambda merged: named(merged, part)))))
 
 
-def detect_names(pages: DataFrame, people: DataFrame | None = None) -> DataFrame:
-    """Merged names of the pages, as matches of type ``name``; ``people`` adds a provider's persons after the sequences.
+def detect_names(pages: DataFrame, people: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
+    """Merged names of the pages, as matches of type ``name``; ``people`` adds a provider's persons after the sequences,
+    ``places`` takes away what it reports as places.
 
-    Without ``people`` all is row-local; with them, spans are merged over a shuffle by page.
+    Without ``people`` all is row-local (``places`` are joined by page); with
+    them, spans are merged over a shuffle by page.
     """
     if people is None:
-        return pages.select("doc_id", "page", F.inline(name_matches(F.col("text"))))
-    merged = merge_names(regex_names(pages).unionByName(person_spans(pages, people).withColumn("ord", F.col("ord") + BLOCK)), pages)
+        listed = pages if places is None else with_places(pages, places)
+        return listed.select("doc_id", "page", F.inline(name_matches(F.col("text"), None if places is None else F.col("places"))))
+    spans = regex_names(pages, places).unionByName(person_spans(pages, people, places).withColumn("ord", F.col("ord") + BLOCK))
+    merged = merge_names(spans, pages)
     return merged.select("doc_id", "page", (F.col("ord") + len(PATTERNS) * BLOCK).alias("ord"), F.lit("name").alias("type"), "text", "start_pos", "end_pos", "confidence", F.lit("nlp").alias("source"))

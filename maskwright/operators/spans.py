@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLOCK, _RUN = 256, 1024
+#: What find_all gives.
+HITS = "array<struct<occ:int,x:string,start:int,end:int,before:string,after:string,prior:string>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -19,16 +19,16 @@ def page_findings(text: Column) -> Column:
     return unnested(F.concat(pattern_matches(text), F.coalesce(name_matches(text), pattern_matches(F.lit("")))))
 
 
-def detect_regex_mode(pages: DataFrame, people: DataFrame | None = None) -> DataFrame:
+def detect_regex_mode(pages: DataFrame, people: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
     """Rules and names of ``pages`` (doc_id, page, text), without nested matches.
 
     One narrow stage from the scan to the findings. A provider's ``people``
-    are joined by page, and then the nested matches go over a shuffle of the
-    matches.
+    and ``places`` are joined by page, and then the nested matches go over a
+    shuffle of the matches.
     """
-    if people is None:
+    if people is None and places is None:
         return pages.select("doc_id", "page", F.inline(page_findings(F.col("text"))))
-    return dedupe_nested(detect_patterns(pages).unionByName(detect_names(pages, people)))
+    return dedupe_nested(detect_patterns(pages).unionByName(detect_names(pages, people, places)))
 
 
 def detect_hybrid_mode(pages: DataFrame, replies: DataFrame) -> DataFrame:
@@ -36,9 +36,9 @@ def detect_hybrid_mode(pages: DataFrame, replies: DataFrame) -> DataFrame:
     return dedupe_nested(dedupe_exact(detect_patterns(pages).unionByName(model_matches(pages, replies))))
 
 
-def detect(pages: DataFrame, mode: str = "regex", replies: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+def detect(pages: DataFrame, mode: str = "regex", replies: DataFrame | None = None, people: DataFrame | None = None, places: DataFrame | None = None) -> DataFrame:
     """``mode`` "ai" is the hybrid one; any other value is "regex", and so is "ai" without replies."""
-    return detect_hybrid_mode(pages, replies) if mode == "ai" and replies is not None else detect_regex_mode(pages, people)
+    return detect_hybrid_mode(pages, replies) if mode == "ai" and replies is not None else detect_regex_mode(pages, people, places)
 
 
 def redact_pages(pages: DataFrame, include_from: float = INCLUDE_FROM) -> DataFrame:

@@ -11,11 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dialect import SPACES, to_re2
 from ..functions.geometry import ADVANCES
 from ..functions.iban import iban_valid
-from ..operators import dedupe, layout, model_matches, names, patterns, redact, review
-from . import detect, relations
+from ..operators import dedupe, layout, model_matches, names, patterns, redact, review, spans
+from ..sources import files
+from . import detect, relations, rules_sql
 from .relations import CTE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,7 +58,7 @@ def _mentions(text: str, name: str) -> bool:
     return re.search(rf"(?<![\w.']){name}(?![\w'(])", text) is not None
 
 
-RE_WS = to_re2(f"[{SPACES}]")
+RE_WS = rules_sql.WS
 
 
 def spans_sql(relation: str, rule: str) -> str:
@@ -74,41 +74,37 @@ IBAN_SQL = (
     f"(length({IBAN_CLEAN}) between 15 and 34 and list_reduce(list_prepend(0::bigint, list_transform(string_split(substr({IBAN_CLEAN}, 5) || left({IBAN_CLEAN}, 4), ''),"
     " lambda c: case when c between '0' and '9' then c::bigint else (ascii(c) - 55)::bigint end)), lambda a, c: case when c < 10 then (a * 10 + c) % 97 else (a * 100 + c) % 97 end) = 1)"
 )
-BIRTH_SQL = f"regexp_matches(substr(text_, greatest(1, start_pos - 11), least(12, start_pos)), {lit(to_re2(patterns.BIRTH_CONTEXT))})"
+BIRTH_SQL = f"regexp_matches(substr(text_, greatest(1, start_pos - 11), least(12, start_pos)), {lit(rules_sql.BIRTH)})"
 
 
-def rule_sql(p: patterns.Pattern, relation: str = "texts") -> str:
+def rule_sql(key: str, relation: str = "texts") -> str:
     """(doc_id, page, ord, type, text, start_pos, end_pos, confidence, source) of one rule."""
-    rule, keep = to_re2(p.regex), "true"
-    if p.key == "generic_id":  # no look-ahead in RE2
-        rule, keep = r"\b[A-Z0-9]{8,20}\b", "regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Z]')"
-    base = f"{p.confidence}::double"
-    conf = base
-    if p.key == "iban":
-        conf = f"case when {IBAN_SQL} then {base} else {base} * {patterns.INVALID_FACTOR}::double end"
-    if p.type == "date_naissance":
-        conf = f"case when {BIRTH_SQL} then greatest({base}, {patterns.BIRTH_CONFIDENCE}::double) else {base} end"
-    k = patterns.PATTERNS.index(p)
+    kind, confidence, rule = rules_sql.RULES[key]
+    base = conf = f"{confidence}::double"
+    if key == "iban":
+        conf = f"case when {IBAN_SQL} then {base} else {base} * {rules_sql.INVALID}::double end"
+    if kind == "date_naissance":
+        conf = f"case when {BIRTH_SQL} then greatest({base}, {rules_sql.BIRTH_AT_LEAST}::double) else {base} end"
+    k = list(rules_sql.RULES).index(key)
     return (
-        f"select doc_id, page, cast({k * patterns.BLOCK} + row_number() over (partition by doc_id, page order by start_pos) - 1 as bigint) as ord, {lit(p.type)} as type, x as text,"
-        f" start_pos, cast(start_pos + length(x) as int) as end_pos, {conf} as confidence, 'regex' as source from ({spans_sql(relation, rule)}) where {keep}"
+        f"select doc_id, page, cast({k * rules_sql.BLOCK} + row_number() over (partition by doc_id, page order by start_pos) - 1 as bigint) as ord, {lit(kind)} as type, x as text,"
+        f" start_pos, cast(start_pos + length(x) as int) as end_pos, {conf} as confidence, 'regex' as source from ({spans_sql(relation, rule)}) where {rules_sql.KEEP.get(key, 'true')}"
     )
 
 
-_STOP = ", ".join(map(lit, names.STOP_WORDS))
-_PLACE = "(" + "|".join(names.PLACES).replace("'", "''") + ")$"
-_NAME_OK = (
-    f"not list_has_any(string_split_regex(lower(x), {lit('[' + SPACES.replace(chr(92) + 'u', chr(92) + 'x') + chr(92) + '-]+')}), [{_STOP}]) and regexp_matches(x, '[a-zà-ÿ]') and not regexp_matches(lower(x), '{_PLACE}')"
-).replace(r"[\t-\r \x00A0\x1680\x2000-\x200A\x2028\x2029\x202F\x205F\x3000\xFEFF\-]+", to_re2(f"[{SPACES}\\-]+"))
-CTE["raw"] = " union all ".join(f"({rule_sql(p)})" for p in patterns.PATTERNS)
-CTE["seqs"] = f"select doc_id, page, occ as ord, x as text, start_pos, cast(start_pos + length(x) as int) as end_pos, 0.55::double as confidence from ({spans_sql('texts', to_re2(patterns.NAME_SEQUENCE))}) where {_NAME_OK}"
+_STOP = ", ".join(map(lit, rules_sql.STOP))
+_PLACE = lit("(" + "|".join(rules_sql.PLACES) + ")$")
+_NAME_OK = f"not list_has_any(string_split_regex(lower(x), {lit(rules_sql.NAME_SPLIT)}), [{_STOP}]) and regexp_matches(x, '[a-zà-ÿ]') and not regexp_matches(lower(x), {_PLACE})"
+AFTER_RULES = len(rules_sql.RULES) * rules_sql.BLOCK
+CTE["raw"] = " union all ".join(f"({rule_sql(key)})" for key in rules_sql.RULES)
+CTE["seqs"] = f"select doc_id, page, occ as ord, x as text, start_pos, cast(start_pos + length(x) as int) as end_pos, 0.55::double as confidence from ({spans_sql('texts', rules_sql.NAME)}) where {_NAME_OK}"
 _MERGE = (
     "select doc_id, page, island, min(start_pos) as start_pos, max(end_pos) as end_pos, max(confidence) as confidence from (select *, sum(case when start_pos <= before then 0 else 1 end) over (partition by doc_id, page order by start_pos, ord rows unbounded preceding) as island"
     " from (select *, max(end_pos) over (partition by doc_id, page order by start_pos, ord rows between unbounded preceding and 1 preceding) as before from {0})) group by all"
 )
 CTE["merged"] = _MERGE.format("seqs")
 CTE["names_"] = (
-    f"select doc_id, page, cast({len(patterns.PATTERNS) * patterns.BLOCK} + island - 1 as bigint) as ord, 'name' as type, substr(t.text, m.start_pos + 1, m.end_pos - m.start_pos) as text, m.start_pos, m.end_pos, m.confidence, 'nlp' as source"
+    f"select doc_id, page, cast({AFTER_RULES} + island - 1 as bigint) as ord, 'name' as type, substr(t.text, m.start_pos + 1, m.end_pos - m.start_pos) as text, m.start_pos, m.end_pos, m.confidence, 'nlp' as source"
     " from merged m join texts t using (doc_id, page)"
 )
 _NESTED = (
@@ -146,7 +142,7 @@ def _rule(p: patterns.Pattern) -> None:
         return patterns.detect_patterns(_pages(spark, d), [p]).withColumn("ord", F.col("ord") + patterns.PATTERNS.index(p) * patterns.BLOCK)
 
     run.__name__ = {"address": "pat_address"}.get(p.key, f"pat_{p.key}")
-    query(sql(rule_sql(p), "texts"))(run)
+    query(sql(rule_sql(p.key), "texts"))(run)
 
 
 for _p in list(patterns.PATTERNS):
@@ -158,7 +154,7 @@ def all_patterns(spark, d):
     return _raw(spark, d)
 
 
-@query(sql(f"select doc_id, page, x as text, start_pos, {IBAN_SQL} as valid from ({spans_sql('texts', to_re2(patterns.pattern('iban').regex))})", "texts"))
+@query(sql(f"select doc_id, page, x as text, start_pos, {IBAN_SQL} as valid from ({spans_sql('texts', rules_sql.RULES['iban'][2])})", "texts"))
 def iban_check(spark, d):
     rows = patterns.detect_patterns(_pages(spark, d), [patterns.pattern("iban")])
     return rows.select("doc_id", "page", "text", "start_pos", iban_valid(F.col("text")).alias("valid"))
@@ -172,11 +168,12 @@ def confidence_adjust(spark, d):
     return _raw(spark, d).groupBy("type", "confidence").agg(F.count("*").alias("n"))
 
 
-@query(sql(f"select doc_id, page, start_pos, {BIRTH_SQL} as birth from ((select * from ({spans_sql('texts', to_re2(patterns.pattern('date_num').regex))})) union all (select * from ({spans_sql('texts', to_re2(patterns.pattern('date_lit').regex))})))", "texts"))
+@query(sql(f"select doc_id, page, start_pos, {BIRTH_SQL} as birth from ((select * from ({spans_sql('texts', rules_sql.RULES['date_num'][2])})) union all (select * from ({spans_sql('texts', rules_sql.RULES['date_lit'][2])})))", "texts"))
 def birth_context(spark, d):
-    pages = _pages(spark, d)
-    rows = patterns.detect_patterns(pages, [patterns.pattern("date_num"), patterns.pattern("date_lit")]).join(pages.withColumnRenamed("text", "page_text"), ["doc_id", "page"])
-    return rows.select("doc_id", "page", "start_pos", patterns.birth_context(F.col("page_text"), F.col("start_pos")).alias("birth"))
+    text = F.col("text")
+    dates = F.concat(*(F.coalesce(spans.find_all(text, patterns.pattern(k).regex), F.array().cast(spans.HITS)) for k in ("date_num", "date_lit")))
+    found = F.transform(dates, lambda m: F.struct(m["start"].alias("start_pos"), patterns.birth_context(text, m["start"]).alias("birth")))
+    return _pages(spark, d).select("doc_id", "page", F.inline(found))
 
 
 @query(sql("select doc_id, page, ord, text, start_pos, end_pos, confidence from seqs", "seqs"))
@@ -185,26 +182,6 @@ def name_regex(spark, d):
     return names.regex_names(_pages(spark, d))
 
 
-_PERSON = "(?:" + "|".join(names.GIVEN_NAMES) + ")(?: " + r"\p{Lu}[\p{L}'’\-]+)?"  # no word of the letters holds a given name inside
-CTE["people"] = (
-    "select doc_id, page, text as page_text, i - 1 as seq, p[i] as person from (select *, unnest(generate_series(1, len(p))) as i from (select doc_id, page, text, list_filter(l, lambda v, i: list_position(l, v) = i) as p"
-    f" from (select doc_id, page, text, regexp_extract_all(text, {lit(_PERSON)}) as l from letters)))"
-)
-
-
-@query(
-    sql(
-        "select doc_id, page, cast(seq * 1000000 + k - 1 as bigint) as ord, person as text, start_pos, cast(start_pos + length(person) as int) as end_pos, 0.65::double as confidence from"
-        " (select *, cast(list_sum(list_transform(g[1:k], lambda z: length(z))) + (k - 1) * length(person) as int) as start_pos from (select *, unnest(generate_series(1, len(g) - 1)) as k from (select *, string_split(page_text, person) as g from people)))",
-        "people",
-    )
-)
-def name_lexicon(spark, d):
-    pages = relations.letters(spark, d)
-    people = pages.select("doc_id", "page", F.posexplode(names.lexicon_people(F.col("text"))).alias("seq", "person"))
-    return names.person_spans(pages, people)
-
-
 @query(sql("select doc_id, page, cast(island - 1 as bigint) as ord, start_pos, end_pos, confidence from merged", "merged"))
 def merge_names(spark, d):
     return names.merge_names(names.regex_names(_pages(spark, d)))
@@ -225,7 +202,7 @@ def dedupe_nested(spark, d):
     return dedupe.dedupe_nested(_raw(spark, d))
 
 
-CTE["twice"] = f"select doc_id, page, ord, type, text, start_pos, end_pos, confidence, source from raw union all select doc_id, page, ord + {20 * patterns.BLOCK}, type, text, start_pos, end_pos, case when doc_id % 2 = 0 then 0.65::double else 0.1::double end, 'nlp' from raw where doc_id % 3 = 0"
+CTE["twice"] = f"select doc_id, page, ord, type, text, start_pos, end_pos, confidence, source from raw union all select doc_id, page, ord + {20 * rules_sql.BLOCK}, type, text, start_pos, end_pos, case when doc_id % 2 = 0 then 0.65::double else 0.1::double end, 'nlp' from raw where doc_id % 3 = 0"
 _EXACT = "select doc_id, page, ord_ as ord, type, text, start_pos, end_pos, confidence, source from (select *, min(ord) over (partition by doc_id, page, type, start_pos, end_pos) as ord_, row_number() over (partition by doc_id, page, type, start_pos, end_pos order by confidence desc, ord) as n_ from {0}) where n_ = 1"
 
 
@@ -248,7 +225,7 @@ CTE["reply_items_"] = (
     " where item is not null and json_type(item) = 'OBJECT' and json_type(item, '$.text') = 'VARCHAR' and (item ->> '$.type') in ('name', 'postal_address', 'custom') and length(trim(item ->> '$.text')) >= case item ->> '$.type' when 'name' then 3 when 'postal_address' then 8 else 4 end"
 )
 CTE["model_hits"] = (
-    f"select doc_id, page, cast({len(patterns.PATTERNS) * patterns.BLOCK} + seq::bigint * 1000000 + k - 1 as bigint) as ord, type, candidate as text, start_pos, cast(start_pos + length(candidate) as int) as end_pos, 0.65::double as confidence, 'nlp' as source from"
+    f"select doc_id, page, cast({AFTER_RULES} + seq::bigint * 1000000 + k - 1 as bigint) as ord, type, candidate as text, start_pos, cast(start_pos + length(candidate) as int) as end_pos, 0.65::double as confidence, 'nlp' as source from"
     " (select *, cast(list_sum(list_transform(g[1:k], lambda z: length(z))) + (k - 1) * length(candidate) as int) as start_pos from (select *, unnest(generate_series(1, len(g) - 1)) as k from (select r.*, l.text as page_text, string_split(l.text, candidate) as g from reply_items_ r join letters l using (doc_id, page))))"
     " where not (start_pos > 0 and regexp_matches(substr(page_text, start_pos, 1), '[\\p{L}\\p{N}]') and regexp_matches(substr(page_text, start_pos + 1, 1), '[\\p{L}\\p{N}]'))"
     " and not (regexp_matches(substr(page_text, start_pos + length(candidate), 1), '[\\p{L}\\p{N}]') and regexp_matches(substr(page_text, start_pos + length(candidate) + 1, 1), '[\\p{L}\\p{N}]'))"
@@ -334,21 +311,6 @@ def sub_box_uniform(spark, d):
     return layout.sub_boxes(_overlaps(spark, d)).select("doc_id", "page", "ord", "item_seq", *_box())
 
 
-@query(
-    sql(
-        f"select doc_id, page, item_seq, {_sqlbox('x + lo * w_', 'y', '(hi - lo) * w_', 'h')} from (select *, greatest(0::double, p - 400::double) / f as lo, least(f, p + m + 400::double) / f as hi from"
-        " (select *, (length(text) * 500)::double as f, (item_seq * 700)::double as p, 1500::double as m from items))",
-        "items",
-    )
-)
-def sub_box_measured(spark, d):
-    from ..functions.geometry import sub_box_measured as part
-
-    rows = relations.items(spark, d)
-    full, prefix = (F.length("text") * 500).cast("double"), (F.col("item_seq") * 700).cast("double")
-    return rows.select("doc_id", "page", "item_seq", part(F.col("box"), full, prefix, F.lit(1500.0), F.lit(400.0)).alias("box")).select("doc_id", "page", "item_seq", *_box())
-
-
 _BARE = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
 
@@ -484,16 +446,12 @@ def scan_documents(spark, d):
 
 @query(sql("select * from files where not (mime <> '' and mime <> 'application/pdf' and not lower(name) like '%.pdf')", "files"))
 def filter_pdf_server(spark, d):
-    from ..sources.files import accepted_by_server
-
-    return _files(spark, d).where(accepted_by_server(F.col("name"), F.col("mime")))
+    return _files(spark, d).where(files.accepted_by_server(F.col("name"), F.col("mime")))
 
 
 @query(sql("select * from files where mime = 'application/pdf' or lower(name) like '%.pdf'", "files"))
 def filter_pdf_client(spark, d):
-    from ..sources.files import accepted_by_client
-
-    return _files(spark, d).where(accepted_by_client(F.col("name"), F.col("mime")))
+    return _files(spark, d).where(files.accepted_by_client(F.col("name"), F.col("mime")))
 
 
 @query(sql("select id, regexp_replace(name, '(?i)\\.pdf$', '') || '_anonymise.pdf' as out_name from files", "files"))
@@ -506,9 +464,9 @@ def data_url(spark, d):
     return relations.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), redact.data_url(F.col("c_name").cast("binary")).alias("url"))
 
 
-@query(sql("select doc_id, '{\"page\":' || page || ',\"type\":' || to_json(type) || ',\"text\":' || to_json(text) || ',\"start_pos\":' || start_pos || ',\"end_pos\":' || end_pos || ',\"source\":' || to_json(source) || '}' as json from found_letters", "found_letters"))
+@query(sql("select doc_id, '{\"page\":' || page || ',\"type\":' || to_json(type) || ',\"text\":' || to_json(text) || ',\"start_pos\":' || start_pos || ',\"end_pos\":' || end_pos || ',\"source\":' || to_json(source) || '}' as json from found", "found"))
 def detections_json(spark, d):
-    return _letter_matches(spark, d).select("doc_id", F.to_json(F.struct("page", "type", "text", "start_pos", "end_pos", "source")).alias("json"))
+    return detect.detect_regex_mode(_pages(spark, d)).select("doc_id", F.to_json(F.struct("page", "type", "text", "start_pos", "end_pos", "source")).alias("json"))
 
 
 @query(sql(f"select doc_id, ord, cluster, {_sqlbox('x * 100', 'y * 100', 'w_ * 100', 'h * 100')} from seen", "seen"))
@@ -613,7 +571,7 @@ def zone_pixels(spark, d):
     return rows.select("doc_id", "page", review.zone_pixels(F.col("box"), F.lit(612.3).cast("double"), F.lit(792.1).cast("double")).alias("box")).select("doc_id", "page", *_box())
 
 
-_LABEL_SQL = "case type " + " ".join(f"when {lit(k)} then {lit(v)}" for k, v in patterns.LABELS.items()) + " else type end"
+_LABEL_SQL = "case type " + " ".join(f"when {lit(k)} then {lit(v)}" for k, v in rules_sql.LABELS.items()) + " else type end"
 
 
 @query(sql(f"select type, {_LABEL_SQL} as label, count(*) as n from raw group by all", "raw"))
@@ -668,3 +626,6 @@ def redaction_leak_check(spark, d):
 def entry(spark: SparkSession) -> DataFrame:
     """Personal data in the small documents and letters, rules and names."""
     return detect_regex_mode(spark, "/root/testdata/sf0.001")
+
+
+from . import provider_queries  # noqa: E402, F401  (registers its queries, which build on those above)

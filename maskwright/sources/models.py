@@ -63,6 +63,11 @@ def http_reply(base_url: str, model: str) -> Callable[[str], str]:
     return reply
 
 
+def prompts(pages: DataFrame, instructions: str) -> DataFrame:
+    """Rows (doc_id, page, prompt) for the pages that are not blank."""
+    return pages.where(F.regexp_replace("text", WS + "+", "") != "").select("doc_id", "page", prompt(F.col("text"), instructions).alias("prompt"))
+
+
 def model_replies(pages: DataFrame, instructions: str, reply: Callable[[str], str], concurrency: int = 1) -> DataFrame:
     """Rows (doc_id, page, raw) for the pages that are not blank; a failed call gives an empty reply.
 
@@ -79,5 +84,4 @@ def model_replies(pages: DataFrame, instructions: str, reply: Callable[[str], st
                 raw.append("")
         return pd.DataFrame({"doc_id": batch.doc_id, "page": batch.page, "raw": raw})
 
-    rows = pages.where(F.regexp_replace("text", WS + "+", "") != "").select("doc_id", "page", prompt(F.col("text"), instructions).alias("prompt"))
-    return provided(rows, "doc_id long, page int, raw string", call, concurrency)
+    return provided(prompts(pages, instructions), "doc_id long, page int, raw string", call, concurrency)
