@@ -226,11 +226,11 @@ CTE["reply_items_"] = (
 )
 CTE["model_hits"] = (
     f"select doc_id, page, cast({AFTER_RULES} + seq::bigint * 1000000 + k - 1 as bigint) as ord, type, candidate as text, start_pos, cast(start_pos + length(candidate) as int) as end_pos, 0.65::double as confidence, 'nlp' as source from"
-    " (select *, cast(list_sum(list_transform(g[1:k], lambda z: length(z))) + (k - 1) * length(candidate) as int) as start_pos from (select *, unnest(generate_series(1, len(g) - 1)) as k from (select r.*, l.text as page_text, string_split(l.text, candidate) as g from reply_items_ r join letters l using (doc_id, page))))"
+    " (select *, cast(list_sum(list_transform(g[1:k], lambda z: length(z))) + (k - 1) * length(candidate) as int) as start_pos from (select *, unnest(generate_series(1, len(g) - 1)) as k from (select r.*, l.text as page_text, string_split(l.text, candidate) as g from reply_items_ r join texts l using (doc_id, page))))"
     " where not (start_pos > 0 and regexp_matches(substr(page_text, start_pos, 1), '[\\p{L}\\p{N}]') and regexp_matches(substr(page_text, start_pos + 1, 1), '[\\p{L}\\p{N}]'))"
     " and not (regexp_matches(substr(page_text, start_pos + length(candidate), 1), '[\\p{L}\\p{N}]') and regexp_matches(substr(page_text, start_pos + length(candidate) + 1, 1), '[\\p{L}\\p{N}]'))"
 )
-CTE["hybrid_all"] = f"select * from raw where doc_id < {relations.OFFSET} union all select * from model_hits"
+CTE["hybrid_all"] = "select * from raw union all select * from model_hits"
 CTE["hybrid_once"] = _EXACT.format("hybrid_all")
 
 
@@ -241,12 +241,12 @@ def llm_items_json(spark, d):
 
 @query(sql(f"select {MATCH} from model_hits", "model_hits"))
 def llm_matches(spark, d):
-    return model_matches.model_matches(relations.letters(spark, d), relations.replies(spark, d))
+    return model_matches.model_matches(_pages(spark, d), relations.replies(spark, d))
 
 
 @query(sql(_NESTED.format("hybrid_once"), "hybrid_once"))
 def detect_hybrid_mode(spark, d):
-    return detect.detect_hybrid_mode(relations.letters(spark, d), relations.replies(spark, d))
+    return detect.detect_hybrid_mode(_pages(spark, d), relations.replies(spark, d))
 
 
 _MODELS = [["a:1b", "b-Instruct:7b", "c-instruct"], ["a:1b", "wanted:2b"], ["only"], []]
