@@ -7,6 +7,7 @@ from maskwright.plans.queries import QUERIES
 SF = "/root/testdata/sf0.001"
 MERGED = [
     "match_item_overlap",
+    "detections",
 ]
 
 
