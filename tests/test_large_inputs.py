@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 MERGED = [
     "match_item_overlap",
     "detections",
+    "apply_overrides",
 ]
 
 
