@@ -14,6 +14,9 @@ from .scratch import materialize, with_running_totals
 
 #: Words of a block.
 BLOCK = 256
+#: Blocks of a target from which its source is dealt whole blocks (half a block is then at most 0.025 % of it); smaller
+#: sources are dealt single words.
+WHOLE = 2048
 #: Words and rows of one source in one shard, about; of larger tables more, so that no more shards than MOST_SHARDS are
 #: due to the words, and to the rows, of sources that have several.
 SHARD_WORDS, SHARD_ROWS, MOST_SHARDS = 2_000_000, 400_000, 200_000
@@ -112,8 +115,8 @@ def mix_plan(
 
     Sources in code-point order, null last, weigh ``weights`` in turn and share
     all words; a target stops at ``cap`` times its source. Sainte-Lague gives
-    each source its number of equal-token blocks; what its target has beyond or
-    below them makes a last, shorter block. Each source's documents are dealt
+    each source its number of equal-token blocks, of single words to sources
+    that whole blocks would not come near enough. Each source's documents are dealt
     to shards by a seeded hash and, in seeded order, form a stream of blocks.
     Sainte-Lague gives each shard an integer quota of its source's blocks;
     whole rounds of a shard's blocks give passes, and the rest is a run of
@@ -138,17 +141,19 @@ def _keys(id_: Column, text: Column, source: Column, seed: int) -> list[Column]:
 def source_plan(narrow: DataFrame, weights: Sequence[float], cap: int) -> DataFrame:
     """Rows (__source, __source_size, __target, __due, __unit, __shards), one for each source of ``narrow``.
 
-    ``__due`` is the target in whole words: the source's Sainte-Lague
-    blocks and its last, shorter one. ``__unit`` is the size of the blocks that
-    are dealt to its shards: BLOCK, or less where the source is small.
+    ``__due`` is what Sainte-Lague awards to the source: blocks of BLOCK words
+    among the sources with targets of WHOLE blocks or more, single words among
+    the others. ``__unit`` is the size of the blocks that are dealt to its
+    shards: BLOCK, or less where the source is small.
     """
     by_source = materialize(narrow.groupBy("__source").agg(F.sum("__size").alias("n"), F.count("*").alias("rows")), "sources")
     ranked = with_running_totals(by_source, ["__source"], {}, "place")
     aimed = materialize(targets(ranked, weights, cap), "targets")
-    total, words, rows = (v or 0 for v in aimed.agg(F.sum("target"), F.sum("n"), F.sum("rows")).first())
-    seated = highest_quotients(aimed, "target", "place", round(total / BLOCK))
-    blocks = F.col("seats") * BLOCK
-    due = F.least(blocks + (F.round("target").cast("long") - blocks), F.col("n") * cap)
+    large = F.col("target") >= WHOLE * BLOCK
+    of_large, of_small, words, rows = (v or 0 for v in aimed.agg(F.sum(F.when(large, F.col("target"))), F.sum(F.when(~large, F.col("target"))), F.sum("n"), F.sum("rows")).first())
+    seated = highest_quotients(aimed.where(large), "target", "place", round(of_large / BLOCK)).withColumn("words", F.lit(BLOCK))
+    seated = seated.unionByName(highest_quotients(aimed.where(~large), "target", "place", round(of_small)).withColumn("words", F.lit(1)))
+    due = F.least(F.col("seats") * F.col("words"), F.col("n") * cap)
     shards = F.greatest(F.lit(1), F.ceil(F.col("n") / max(SHARD_WORDS, words / MOST_SHARDS)), F.ceil(F.col("rows") / max(SHARD_ROWS, rows / MOST_SHARDS))).cast("long")
     plan = seated.withColumn("due", due).withColumn("shards", shards)
     unit = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.col("due") / (256 * F.col("shards"))))).cast("long")

@@ -327,6 +327,21 @@ def test_a_small_source_leaves_the_others_their_blocks(spark):
     assert plan["asmall"]["__due"] == 9 and plan["b"]["__due"] == 3 and plan["abig"]["__due"] == round(plan["abig"]["__target"])
 
 
+def test_what_a_source_is_due_is_what_sainte_lague_awards(spark):
+    kind = "__source string, __size long"
+    for sizes in ([3, 3, 3], [7] * 5, [1_000_001, 1_200_003, 900_007], [1_000_001, 1_200_003, 900_007, 3, 5, 11]):
+        rows = spark.createDataFrame([(f"a{i}", n) for i, n in enumerate(sizes)], kind)
+        plan = mixing.source_plan(rows, (1, 2, 3), 3).orderBy("__source").collect()
+        due, want = [r["__due"] for r in plan], {}
+        for large, block in ((True, mixing.BLOCK), (False, 1)):
+            aims = [(i, r["__target"]) for i, r in enumerate(plan) if (r["__target"] >= mixing.WHOLE * mixing.BLOCK) == large]
+            seats = mixing.sainte_lague(round(sum(t for _, t in aims) / block), [t for _, t in aims])
+            want |= {i: min(s * block, 3 * sizes[i]) for (i, _), s in zip(aims, seats, strict=True)}
+        assert due == [want[i] for i in range(len(sizes))]
+        assert all(abs(r["__due"] - r["__target"]) <= max(1, r["__target"] / 2048) for r in plan)
+        assert max(sizes) > 100 or sum(due) == sum(sizes)
+
+
 def test_a_source_of_blank_rows_is_dealt_to_many_shards(spark):
     blank = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("blank").alias("source"))
     some = spark.createDataFrame([(-1, "a b c", "some"), (-2, "d e", "blank")], blank.schema)
