@@ -38,7 +38,7 @@ def responses(files: DataFrame, pages: DataFrame, detections: DataFrame, mode: s
     finding = F.struct("page", "start_pos", "ord", "cluster", F.struct("id", "page", "type", "text", "box", "confidence", "source").alias("d"))
     by_file = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(page)).alias("pages"))
     found = detections.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(finding)), lambda x: x["d"]).alias("detections"))
-    both = files.select("doc_id", "name").join(by_file, "doc_id", "left").join(found, "doc_id", "left")
+    both = files.select("doc_id", "name").join(by_file.hint("merge"), "doc_id", "left").join(found.hint("merge"), "doc_id", "left")
     lists = [F.coalesce(c, F.array().cast(kind.dataType)).alias(c) for c, kind in (("pages", by_file.schema["pages"]), ("detections", found.schema["detections"]))]
     return both.select("doc_id", F.to_json(F.struct(F.col("name").alias("fileName"), *lists, F.lit("ai" if mode == "ai" else "regex").alias("mode"))).alias("json"))
 

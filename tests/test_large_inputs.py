@@ -9,6 +9,7 @@ MERGED = [
     "match_item_overlap",
     "detections",
     "apply_overrides",
+    "upload_response",
 ]
 
 
