@@ -10,6 +10,7 @@ MERGED = [
     "detections",
     "apply_overrides",
     "upload_response",
+    "included_summary",
 ]
 
 
