@@ -12,6 +12,7 @@ MERGED = [
     "upload_response",
     "included_summary",
     "pages_rasterised",
+    "detection_id",
 ]
 
 
