@@ -13,6 +13,7 @@ MERGED = [
     "included_summary",
     "pages_rasterised",
     "detection_id",
+    "default_included",
 ]
 
 
