@@ -14,6 +14,7 @@ MERGED = [
     "pages_rasterised",
     "detection_id",
     "default_included",
+    "preview_pct",
 ]
 
 
