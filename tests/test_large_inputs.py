@@ -15,6 +15,7 @@ MERGED = [
     "detection_id",
     "default_included",
     "preview_pct",
+    "detection_source",
 ]
 
 
