@@ -16,6 +16,7 @@ MERGED = [
     "default_included",
     "preview_pct",
     "detection_source",
+    "count_by_type",
 ]
 
 
