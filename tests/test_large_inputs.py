@@ -17,6 +17,7 @@ MERGED = [
     "preview_pct",
     "detection_source",
     "count_by_type",
+    "count_by_page",
 ]
 
 
