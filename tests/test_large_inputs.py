@@ -18,6 +18,7 @@ MERGED = [
     "detection_source",
     "count_by_type",
     "count_by_page",
+    "pages_left_zones",
 ]
 
 
