@@ -19,6 +19,7 @@ MERGED = [
     "count_by_type",
     "count_by_page",
     "pages_left_zones",
+    "pages_untouched",
 ]
 
 
