@@ -20,6 +20,7 @@ MERGED = [
     "count_by_page",
     "pages_left_zones",
     "pages_untouched",
+    "zones_by_page",
 ]
 
 
