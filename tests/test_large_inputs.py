@@ -21,6 +21,7 @@ MERGED = [
     "pages_left_zones",
     "pages_untouched",
     "zones_by_page",
+    "sub_box_uniform",
 ]
 
 
