@@ -22,6 +22,7 @@ MERGED = [
     "pages_untouched",
     "zones_by_page",
     "sub_box_uniform",
+    "union_boxes",
 ]
 
 
