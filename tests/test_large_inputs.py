@@ -23,6 +23,7 @@ MERGED = [
     "zones_by_page",
     "sub_box_uniform",
     "union_boxes",
+    "zone_pixels",
 ]
 
 
