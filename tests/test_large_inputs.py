@@ -24,6 +24,7 @@ MERGED = [
     "sub_box_uniform",
     "union_boxes",
     "zone_pixels",
+    "zones",
 ]
 
 
