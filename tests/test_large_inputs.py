@@ -25,6 +25,7 @@ MERGED = [
     "union_boxes",
     "zone_pixels",
     "zones",
+    "included_lookup",
 ]
 
 
