@@ -26,6 +26,7 @@ MERGED = [
     "zone_pixels",
     "zones",
     "included_lookup",
+    "sub_box_measured",
 ]
 
 
