@@ -34,3 +34,16 @@ MERGED = [
 def test_nothing_that_grows_is_broadcast(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+EXECUTED = [
+    "zones",
+]
+
+
+@pytest.mark.parametrize("name", EXECUTED)
+def test_execution_keeps_the_merge(spark, name):
+    rows = QUERIES[name](spark, SF)
+    rows.collect()  # small inputs, so that adaptive execution would broadcast what it may
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
