@@ -38,6 +38,7 @@ def test_nothing_that_grows_is_broadcast(spark, name):
 
 EXECUTED = [
     "zones",
+    "zone_pixels",
 ]
 
 
