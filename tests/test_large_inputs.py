@@ -39,6 +39,7 @@ def test_nothing_that_grows_is_broadcast(spark, name):
 EXECUTED = [
     "zones",
     "zone_pixels",
+    "union_boxes",
 ]
 
 
