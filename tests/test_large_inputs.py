@@ -40,6 +40,7 @@ EXECUTED = [
     "zones",
     "zone_pixels",
     "union_boxes",
+    "sub_box_measured",
 ]
 
 
