@@ -41,6 +41,7 @@ EXECUTED = [
     "zone_pixels",
     "union_boxes",
     "sub_box_measured",
+    "sub_box_uniform",
 ]
 
 
