@@ -42,6 +42,7 @@ EXECUTED = [
     "union_boxes",
     "sub_box_measured",
     "sub_box_uniform",
+    "count_by_type",
 ]
 
 
