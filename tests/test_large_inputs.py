@@ -43,6 +43,7 @@ EXECUTED = [
     "sub_box_measured",
     "sub_box_uniform",
     "count_by_type",
+    "detections",
 ]
 
 
