@@ -44,6 +44,7 @@ EXECUTED = [
     "sub_box_uniform",
     "count_by_type",
     "detections",
+    "preview_pct",
 ]
 
 
