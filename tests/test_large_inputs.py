@@ -45,6 +45,7 @@ EXECUTED = [
     "count_by_type",
     "detections",
     "preview_pct",
+    "default_included",
 ]
 
 
