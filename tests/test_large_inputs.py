@@ -46,6 +46,7 @@ EXECUTED = [
     "detections",
     "preview_pct",
     "default_included",
+    "detection_id",
 ]
 
 
