@@ -47,6 +47,7 @@ EXECUTED = [
     "preview_pct",
     "default_included",
     "detection_id",
+    "detection_source",
 ]
 
 
