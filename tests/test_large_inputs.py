@@ -48,6 +48,7 @@ EXECUTED = [
     "default_included",
     "detection_id",
     "detection_source",
+    "count_by_page",
 ]
 
 
