@@ -49,6 +49,7 @@ EXECUTED = [
     "detection_id",
     "detection_source",
     "count_by_page",
+    "pages_untouched",
 ]
 
 
