@@ -50,6 +50,7 @@ EXECUTED = [
     "detection_source",
     "count_by_page",
     "pages_untouched",
+    "zones_by_page",
 ]
 
 
